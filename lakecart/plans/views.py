@@ -28,6 +28,9 @@ SAGA_SUBJECTS = {
     "error": "payment.failed",
     "click": "inventory.released",
 }
+# payment.failed reasons by event_id % 4; the first two are closures that must not
+# notify the buyer.
+FAILURE_REASONS = ("order_expired", "order_cancelled", "card_declined", "insufficient_funds")
 TURN_TYPES = {"user": "human", "assistant": "ai", "system": "system"}
 
 
@@ -137,6 +140,7 @@ def v_saga(t: Tables) -> DataFrame:
         (F.expr("try_cast(get_json_object(props, '$.k') AS INT)") % 5).alias("quantity"),
         (F.col("event_id") % 50).alias("product_id"),
         F.col("value"),
+        F.when(e == "error", _by_mod(F.col("event_id"), FAILURE_REASONS)).alias("reason"),
     )
 
 
@@ -227,7 +231,9 @@ SQL_VIEWS = {
       WHEN 'purchase' THEN 'payment.succeeded' WHEN 'error' THEN 'payment.failed'
       WHEN 'click' THEN 'inventory.released' END AS subject,
     TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS quantity,
-    event_id % 50 AS product_id, value
+    event_id % 50 AS product_id, value,
+    CASE WHEN event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 'order_expired' WHEN 1 THEN 'order_cancelled'
+      WHEN 2 THEN 'card_declined' ELSE 'insufficient_funds' END END AS reason
   FROM events""",
     "v_turns": """SELECT conv_id, turn,
     CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' WHEN 'system' THEN 'system' END AS type, text
@@ -239,3 +245,9 @@ def sql_with(body: str, *names: str) -> str:
     """Prefix ``body`` with the CTEs of the named views."""
     ctes = ",\n".join(f"{n} AS (\n  {SQL_VIEWS[n]}\n)" for n in names)
     return f"WITH {ctes}\n{body}" if names else body
+
+
+def sql_ctes(body: str, views=(), ctes=()) -> str:
+    """``WITH`` the named views, then extra ``(name, sql)`` CTEs, then ``body``."""
+    parts = [f"{n} AS (\n  {SQL_VIEWS[n]}\n)" for n in views] + [f"{n} AS (\n  {q}\n)" for n, q in ctes]
+    return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
