@@ -29,4 +29,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from .plans import lake_queries, mart_queries, saga_queries  # noqa: F401
+    from .plans import guard_queries, lake_queries, mart_queries, saga_queries  # noqa: F401
