@@ -15,9 +15,9 @@ side before each exchange.  Fact-to-dimension joins carry no broadcast hint: the
 broadcasts a side only when its estimated size is under
 ``spark.sql.autoBroadcastJoinThreshold`` (and AQE re-checks with runtime sizes);
 beyond that it falls back to a sort-merge join whose skewed partitions AQE splits.  Where
-a hot key could hold a third of the rows (one customer, one product), the fact side is
-pre-aggregated to the join key first, so a hot key reaches the join as a handful of
-partial rows instead of millions of order rows.
+aggregation can happen before a join without adding an exchange (lines per order before
+meeting the orders, per-product sums before meeting the product attributes) it does, so
+the attribute join touches one row per key instead of every fact row.
 """
 
 from __future__ import annotations
@@ -87,34 +87,31 @@ def revenue_by_segment(orders: DataFrame, customers: DataFrame, city: str | None
                        start=None, end=None, currency: str | None = None) -> DataFrame:
     """Q2 (F6 + J1): sales per month, segment, city and currency.
 
-    The N:1 left join keeps every sale.  Orders are first reduced to one partial row per
-    (customer, month, currency) — a map-side partial aggregate before the exchange — so
-    the join input shrinks and a hot customer cannot flood one join task.
+    The N:1 left join keeps every sale.  Orders are not pre-aggregated before the join:
+    with about one order per customer and month that would add a shuffle without shrinking
+    anything.  If the customers side is small the planner broadcasts it (no shuffle of
+    orders at all); otherwise the sort-merge join's skewed partitions (a customer holding a
+    third of the orders) are split by AQE — the left side of a left outer join may be
+    split — and the aggregate that follows is combined map-side before its exchange.
     """
     sales = sales_only(in_period(orders, "order_date", start, end))
     if currency is not None:
         sales = sales.where(F.col("currency") == currency)
-    partial = sales.groupBy("customer_id", month_of("order_date").alias("month"), "currency").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("total_amount").alias("n_amount"),
-        F.sum("total_amount").alias("amount"),
-    )
     cust = customers.select("customer_id", "segment", "city")
-    joined = partial.join(cust, "customer_id", "left")
+    joined = sales.select("customer_id", "order_date", "currency", "total_amount").join(cust, "customer_id", "left")
     labelled = joined.select(
-        "month",
+        month_of("order_date").alias("month"),
         F.coalesce("segment", F.lit(NO_SEGMENT)).alias("segment"),
         F.coalesce("city", F.lit(NO_CITY)).alias("city"),
-        "currency", "n", "n_amount", "amount",
+        "currency", "total_amount",
     )
     if city is not None:
         labelled = labelled.where(F.col("city") == city)
-    total = F.sum("amount")
     out = labelled.groupBy("month", "segment", "city", "currency").agg(
-        F.sum("n").alias("order_count"),
-        F.sum("n_amount").alias("orders_with_amount"),
-        total.cast(MONEY_SUM).alias("sales_amount"),
-        half_up_cents((total * 100).cast("bigint"), F.coalesce(F.sum("n_amount"), F.lit(0))).alias("average_order_amount"),
+        F.count(F.lit(1)).alias("order_count"),
+        F.count("total_amount").alias("orders_with_amount"),
+        sum_money("total_amount").alias("sales_amount"),
+        avg_money("total_amount").alias("average_order_amount"),
     )
     return out.orderBy(F.col("month").asc_nulls_last(), F.col("sales_amount").desc_nulls_last(),
                        *_nl("segment", "city", "currency"))
