@@ -29,4 +29,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from .plans import eval_queries, guard_queries, lake_queries, mart_queries, saga_queries  # noqa: F401
+    from .plans import (catalog_queries, eval_queries, guard_queries, lake_queries,  # noqa: F401
+                        mart_queries, saga_queries)
