@@ -56,10 +56,9 @@ def prompt_overlap(texts: DataFrame, references: DataFrame, n: int = PROMPT_NGRA
     ``n - 2`` words must be whole text words.  That makes an exact equi-join on the middle
     (n-2)-gram, with the two edge words checked by suffix/prefix after the join.
 
-    Both sides are exploded to one row per position and de-duplicated per document
-    before the shuffle (repeated passages collapse map-side); the join key is the middle
-    gram's hash plus its text, so a hot gram is split by AQE's skew handling rather than
-    landing whole in one task."""
+    Both sides are exploded to one row per position; the join key is the middle gram's
+    hash plus its text, so a hot gram is split by AQE's skew handling rather than landing
+    whole in one task."""
     if n < 3:
         raise ValueError("n must be >= 3")
     inner = n - 2
@@ -74,10 +73,14 @@ def prompt_overlap(texts: DataFrame, references: DataFrame, n: int = PROMPT_NGRA
             F.element_at("w", i + n - 1).alias("last")))
         # no filter on the UDF result (it would be evaluated twice); short texts explode nothing
         grams_col = F.when(F.size("w") >= n, g).otherwise(F.array())
-        return w.select("k", F.explode(grams_col).alias("g")).select("k", "g.mid", "g.first", "g.last").distinct()
+        return w.select("k", F.explode(grams_col).alias("g")).select("k", "g.mid", "g.first", "g.last")
 
+    # The text side is not de-duplicated before the join: that would shuffle every
+    # position.  The join keeps only positions whose middle gram occurs in a reference
+    # (the reference side is broadcast when it is measured small), and the (text,
+    # reference) pairs are de-duplicated afterwards.
     t = grams(texts, text_key, "text").withColumnRenamed("k", text_key)
-    r = grams(references, ref_key, "text").withColumnRenamed("k", ref_key) \
+    r = grams(references, ref_key, "text").distinct().withColumnRenamed("k", ref_key) \
         .withColumnRenamed("first", "r_first").withColumnRenamed("last", "r_last")
     t = t.withColumn("h", F.xxhash64("mid"))
     r = r.withColumn("h", F.xxhash64("mid"))
