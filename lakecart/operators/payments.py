@@ -89,3 +89,25 @@ def catalog_retry_at(now: Column, attempt: Column, rejected: Column, retry_after
     delay = F.greatest(F.lit(CATALOG_BASE_SECONDS) * F.pow(F.lit(2), attempt - 1), ra.cast("double"))
     stopped = rejected | (attempt >= CATALOG_MAX_ATTEMPTS)
     return F.when(~stopped, now + F.make_dt_interval(secs=delay.cast("decimal(18,6)")))
+
+
+def payment_reconciliation(orders: DataFrame, payments: DataFrame) -> DataFrame:
+    """Sales orders against their succeeded payments, one row per order with a
+    reason — ``missing_payment``, ``amount_mismatch``, ``currency_mismatch``,
+    ``payment_without_sale`` or ``ok``.  Payments are summed per order first; that
+    aggregate is already partitioned by order id, so the full join adds no exchange on
+    the payments side."""
+    sales = orders.where(F.col("status").isin("confirmed", "shipped")).select(
+        "order_id", "total_amount", F.col("currency").alias("order_currency"))
+    paid = payments.where(F.col("status") == "succeeded").groupBy("order_id").agg(
+        F.sum("amount").cast("decimal(38,2)").alias("paid_amount"),
+        F.min("currency").alias("paid_currency"),
+        F.count_distinct("currency").alias("currencies"))
+    j = sales.join(paid, "order_id", "full")
+    reason = (F.when(F.col("paid_amount").isNull(), "missing_payment")
+              .when(F.col("total_amount").isNull() & F.col("order_currency").isNull(), "payment_without_sale")
+              .when((F.col("currencies") > 1) | (F.col("paid_currency") != F.col("order_currency")), "currency_mismatch")
+              .when(~F.col("paid_amount").eqNullSafe(F.col("total_amount").cast("decimal(38,2)")), "amount_mismatch")
+              .otherwise("ok"))
+    return j.select("order_id", F.col("total_amount").cast("decimal(38,2)").alias("total_amount"), "paid_amount",
+                    reason.alias("reason"))

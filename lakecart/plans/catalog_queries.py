@@ -112,3 +112,26 @@ def q13(spark, sf_dir):
                      F.when(F.col("d.reason").isNotNull(), "blocked")
                      .when(F.col("d.redacted"), "redacted").otherwise("passed").alias("action")).agg(
         F.count(F.lit(1)).alias("events"))
+
+
+@register("e14_payment_reconciliation", sql_ctes("""SELECT reason, count(*) AS orders,
+  CAST(sum(total_amount) AS DECIMAL(38,2)) AS total_amount, CAST(sum(paid_amount) AS DECIMAL(38,2)) AS paid_amount
+FROM (SELECT coalesce(s.order_id, p.order_id) AS order_id, CAST(s.total_amount AS DECIMAL(38,2)) AS total_amount,
+    p.paid_amount,
+    CASE WHEN p.paid_amount IS NULL THEN 'missing_payment'
+      WHEN s.total_amount IS NULL AND s.order_currency IS NULL THEN 'payment_without_sale'
+      WHEN p.currencies > 1 OR p.paid_currency <> s.order_currency THEN 'currency_mismatch'
+      WHEN p.paid_amount IS DISTINCT FROM CAST(s.total_amount AS DECIMAL(38,2)) THEN 'amount_mismatch'
+      ELSE 'ok' END AS reason
+  FROM (SELECT order_id, total_amount, currency AS order_currency FROM v_orders WHERE status IN ('confirmed', 'shipped')) s
+  FULL JOIN (SELECT order_id, CAST(sum(amount) AS DECIMAL(38,2)) AS paid_amount, min(currency) AS paid_currency,
+      count(DISTINCT currency) AS currencies FROM v_payments WHERE status = 'succeeded' GROUP BY order_id) p
+    ON s.order_id = p.order_id)
+GROUP BY reason""", ["v_orders", "v_payments"]))
+def e14(spark, sf_dir):
+    from ..operators.payments import payment_reconciliation
+    v = Views(spark, sf_dir)
+    r = payment_reconciliation(v.v_orders, v.v_payments)
+    return r.groupBy("reason").agg(F.count(F.lit(1)).alias("orders"),
+                                   F.sum("total_amount").cast("decimal(38,2)").alias("total_amount"),
+                                   F.sum("paid_amount").cast("decimal(38,2)").alias("paid_amount"))
