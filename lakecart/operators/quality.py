@@ -107,3 +107,49 @@ def stock_arithmetic(inventory: DataFrame, products: DataFrame) -> DataFrame:
 def unique_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Business keys held by more than one row, with their multiplicity."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+
+
+# ------------------------------------------------------------------ contract rules
+UUID_RE = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+INT_MAX = 2**31 - 1
+
+
+def _errors(rules) -> F.Column:
+    return F.filter(F.array(*[F.when(c, F.lit(name)) for c, name in rules]), lambda x: x.isNotNull())
+
+
+def _strip(c: str) -> F.Column:
+    return F.regexp_replace(F.col(c), r"^\s+|\s+$", "")
+
+
+def validate_products(df: DataFrame) -> DataFrame:
+    """Product form rows (all text) with the list of failed rules: title 1…160 and
+    description 1…5000 characters after trimming; price text with at most two decimals
+    in 2…999 999.99; stock integer text in 0…2^31-1."""
+    title, desc, price, stock = _strip("title"), _strip("description"), _strip("price"), _strip("stock")
+    price_ok = price.rlike(r"^\d+(?:\.\d{1,2})?$") & price.try_cast("decimal(20,2)").between(2, 999999.99)
+    stock_ok = stock.rlike(r"^\d+$") & stock.try_cast("decimal(38,0)").between(0, INT_MAX)
+    rules = [
+        (~F.coalesce(F.length(title).between(1, 160), F.lit(False)), "title"),
+        (~F.coalesce(F.length(desc).between(1, 5000), F.lit(False)), "description"),
+        (~F.coalesce(price_ok, F.lit(False)), "price"),
+        (~F.coalesce(stock_ok, F.lit(False)), "stock"),
+    ]
+    return df.withColumn("errors", _errors(rules))
+
+
+def validate_stock_batch(df: DataFrame) -> DataFrame:
+    """Stock batch rows (``operation_id``, ``adjustments`` array of
+    struct(productId, delta)) with failed rules: id 1…100 characters; 1…20 lines; each
+    delta a non-zero integer within ±(2^31-1); product ids valid and unique."""
+    adj = F.col("adjustments")
+    rules = [
+        (~F.coalesce(F.length("operation_id").between(1, 100), F.lit(False)), "operation_id"),
+        (~F.coalesce(F.size(adj).between(1, 20), F.lit(False)), "lines"),
+        (~F.coalesce(F.forall(adj, lambda a: (a["delta"] != 0) & a["delta"].between(-INT_MAX, INT_MAX)),
+                     F.lit(False)), "delta"),
+        (~F.coalesce(F.forall(adj, lambda a: a["productId"].rlike(UUID_RE)), F.lit(False)), "product_id"),
+        (~F.coalesce(F.size(F.array_distinct(F.transform(adj, lambda a: a["productId"]))) == F.size(adj),
+                     F.lit(False)), "duplicate_product"),
+    ]
+    return df.withColumn("errors", _errors(rules))

@@ -83,3 +83,20 @@ def test_summary_and_gate(spark):
     conf = spark.createDataFrame([(True, True), (True, False), (False, False)], "e boolean, a boolean")
     m = {(r.expected, r.actual): r.n for r in evals.confusion(conf, "e", "a", [False, True]).collect()}
     assert m == {(False, False): 1, (False, True): 0, (True, False): 1, (True, True): 1}
+
+
+def test_contract_rules(spark):
+    from lakecart.operators import quality
+    prods = spark.createDataFrame([
+        (" Polo ", "Algodón", "19.90", "5"), ("", "x", "1.99", "-1"), ("t" * 161, "", "12.345", "1.5"),
+        ("ok", "ok", "999999.99", "2147483647"), ("ok", "ok", "1000000", "2147483648")],
+        "title string, description string, price string, stock string")
+    errs = [r.errors for r in quality.validate_products(prods).collect()]
+    assert errs == [[], ["title", "price", "stock"], ["title", "description", "price", "stock"], [],
+                    ["price", "stock"]]
+    u = "11111111-1111-4111-8111-111111111111"
+    batch = spark.createDataFrame([
+        ("op-1", [(u, 3)]), ("", [(u, 0), (u, 2)]), ("op-3", []), ("op-4", [("bad", 1)])],
+        "operation_id string, adjustments array<struct<productId:string,delta:long>>")
+    errs = [r.errors for r in quality.validate_stock_batch(batch).collect()]
+    assert errs == [[], ["operation_id", "delta", "duplicate_product"], ["lines"], ["product_id"]]
