@@ -170,3 +170,18 @@ def notifications(events: DataFrame) -> DataFrame:
         "subject", "order_key", "event_id", "occurred_at", subject_line.alias("notification_subject"))
     return first_per(keyed, ["idempotency_key"], ["subject", "order_key", "event_id", "occurred_at",
                                                    "notification_subject"])
+
+
+def active_reservations(events: DataFrame) -> DataFrame:
+    """F8: an order's reservation (first ``inventory.reserved`` with a positive quantity)
+    that no later ``inventory.released`` has released, shaped with status ``reserved``."""
+    res = first_per(events.where((F.col("subject") == RESERVED) & (F.col("quantity") > 0)),
+                    ["order_key"], ["event_id", "occurred_at", "product_id", "quantity"], "res_")
+    rel = events.where(F.col("subject") == RELEASED).select("order_key", "event_id", "occurred_at")
+    released = rel.join(res, "order_key").where(
+        (F.col("occurred_at") > F.col("res_occurred_at"))
+        | ((F.col("occurred_at") == F.col("res_occurred_at")) & (F.col("event_id") > F.col("res_event_id")))
+    ).select("order_key")
+    return res.join(released, "order_key", "left_anti").select(
+        "order_key", F.col("res_product_id").alias("product_id"), F.col("res_quantity").alias("quantity"),
+        F.col("res_occurred_at").alias("reserved_at"), F.lit("reserved").alias("status"))

@@ -135,3 +135,14 @@ def _e2_sql() -> str:
 def e2(spark, sf_dir):
     v = Views(spark, sf_dir)
     return stock.adjust_stock(v.v_products, stock.stock_deltas(v.v_saga))
+
+
+@register("f8_active_reservations", sql_ctes(f"""SELECT r.order_key, r.product_id, r.quantity,
+  r.occurred_at AS reserved_at, 'reserved' AS status
+FROM res r WHERE NOT EXISTS (SELECT 1 FROM v_saga x WHERE x.subject = 'inventory.released' AND x.order_key = r.order_key
+  AND (x.occurred_at > r.occurred_at OR (x.occurred_at = r.occurred_at AND x.event_id > r.event_id)))""",
+                                              ["v_saga"], [("res", f"""SELECT * FROM (SELECT order_key, event_id,
+    occurred_at, product_id, quantity, {_FIRST.format(k='order_key')} AS rn FROM v_saga
+    WHERE subject = 'inventory.reserved' AND quantity > 0) WHERE rn = 1""")]))
+def f8(spark, sf_dir):
+    return saga.active_reservations(Views(spark, sf_dir).v_saga)
