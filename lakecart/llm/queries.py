@@ -6,8 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents
+from ..sources.tables import load
+from .common import crc_mod, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,3 +29,35 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return bpe.byte_bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                                    public_tokenizers.PATTERN, space_leads=True)
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learnt from the documents outside fold 2 of 4."""
+    from . import langid
+
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    fold = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    out = langid.identify(docs.select("doc_id", "text"), docs.where(~fold))
+    return out.select("doc_id", fold.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from labels outside fold 1 of 3."""
+    from . import toxicity
+
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    fold = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    labels = load(spark, sf_dir, "labels").where(~fold).select("doc_id", F.col("toxic").alias("label"))
+    out = toxicity.classify(docs, docs, labels)
+    return out.select("doc_id", fold.alias("held_out"), F.col("toxic_score").alias("score"),
+                      F.col("toxic_predicted").alias("predicted"))
+
+
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 5-word shingles at Jaccard 0.75 or more."""
+    from . import sigtree
+
+    return sigtree.jaccard_components(documents(spark, sf_dir, "doc_id", "text"))
