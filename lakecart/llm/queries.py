@@ -61,3 +61,13 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sigtree
 
     return sigtree.jaccard_components(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as token pieces in sequences of at most 2048."""
+    import public_tokenizers
+
+    from . import packing
+
+    return packing.pack(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
