@@ -71,3 +71,29 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every text, with the forest's score and verdict."""
+    from . import secrets
+
+    return secrets.scan(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every text."""
+    from . import licenses
+
+    return licenses.scan(documents(spark, sf_dir, "doc_id", "text")).drop("matches")
+
+
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text and the verdict of base rules and robust distance."""
+    from . import quality
+
+    return quality.assess(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
