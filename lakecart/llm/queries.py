@@ -97,3 +97,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
     return quality.assess(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
+
+
+@query
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings at cosine 0.9 or more."""
+    from . import neardup
+
+    return neardup.near_duplicates(load(spark, sf_dir, "embeddings"))
