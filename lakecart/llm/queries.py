@@ -105,3 +105,11 @@ def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
     return neardup.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text, learnt from the documents outside fold 2 of 7."""
+    from . import lm
+
+    return lm.score_texts(documents(spark, sf_dir, "doc_id", "text"), crc_mod("doc_id", 7) == 2)
