@@ -194,8 +194,8 @@ class Block:
         train = ~held[self.owner]
         self.words, self.word_at = np.unique(flat, return_inverse=True)
         self.word_count = np.bincount(self.word_at[train], minlength=len(self.words))
-        bits = (shards - 1).bit_length()
-        word_shard = (self.words >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.words), np.int64)
+        # shards are equal ranges of the sorted hashes, so answers come back in their order
+        word_shard = (((self.words >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
         self.word_cut = np.searchsorted(word_shard, np.arange(shards + 1))
 
         before = np.concatenate([[END], flat[:-1]])  # the end mark before a text starts it
