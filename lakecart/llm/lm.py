@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .textvec import SPACE_WORDS, Words, groups, mix, text_buffer, word_hash
 
-BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+SHARD_BYTES = 8 << 20
 SALTS = 16
 CONTEXT_BITS = 40
 #: No word contains a space, so this is no word's hash.
@@ -190,26 +190,34 @@ class Block:
         inner = np.ones(len(flat), bool)
         inner[ends] = False
         flat[inner] = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        self.owner = np.repeat(np.arange(len(n)), self.tokens)
+        del parts, inner, data
+        self.owner = np.repeat(np.arange(len(n), dtype=np.int32), self.tokens)
         train = ~held[self.owner]
-        self.words, self.word_at = np.unique(flat, return_inverse=True)
+        self.words, word_at = np.unique(flat, return_inverse=True)
+        self.word_at = word_at.astype(np.int32)
+        del word_at
         self.word_count = np.bincount(self.word_at[train], minlength=len(self.words))
         # shards are equal ranges of the sorted hashes, so answers come back in their order
         word_shard = (((self.words >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
         self.word_cut = np.searchsorted(word_shard, np.arange(shards + 1))
 
-        before = np.concatenate([[END], flat[:-1]])  # the end mark before a text starts it
+        # the end mark before a text starts it
         before_at = np.concatenate([[np.searchsorted(self.words, END)], self.word_at[:-1]])
+        del flat
         pair = before_at.astype(np.uint64) * np.uint64(len(self.words)) + self.word_at.astype(np.uint64)
-        pairs, first, self.pair_at = np.unique(pair, return_index=True, return_inverse=True)
-        pair_count = np.bincount(self.pair_at[train], minlength=len(pairs))
-        context, word = mix(before[first]), mix(flat[first] ^ np.uint64(0x5555555555555555))
+        del before_at
+        pair, pair_at = np.unique(pair, return_inverse=True)
+        self.pair_at = pair_at.astype(np.int32)
+        del pair_at
+        pair_count = np.bincount(self.pair_at[train], minlength=len(pair))
+        context = mix(self.words[(pair // np.uint64(len(self.words))).astype(np.int64)])
+        word = mix(self.words[(pair % np.uint64(len(self.words))).astype(np.int64)] ^ np.uint64(0x5555555555555555))
         shard = ((context >> np.uint64(CONTEXT_BITS)) + (word >> np.uint64(32)) % np.uint64(SALTS)) % np.uint64(shards)
         context &= np.uint64((1 << CONTEXT_BITS) - 1)
         follower = (word & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         order = np.lexsort((follower, context, shard))
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.arange(len(order))
+        self.place = np.empty(len(order), np.int32)
+        self.place[order] = np.arange(len(order), dtype=np.int32)
         self.shard, self.context, self.follower = shard[order].astype(np.int64), context[order], follower[order]
         self.pair_count = pair_count[order]
         self.pair_cut = np.searchsorted(self.shard, np.arange(shards + 1))

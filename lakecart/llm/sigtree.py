@@ -14,7 +14,7 @@
    need.  Surviving leaves are verified exactly, unless they are connected already.
 5. Verified links are closed to components.
 
-Keys keep 48 bits below the shard number (which grows with the corpus); shared keys are
+Keys keep 40 bits below the shard number (which grows with the corpus); shared keys are
 all that a verification needs, for unshared shingles cannot lie in an intersection.
 """
 
@@ -32,9 +32,9 @@ from .graph import connected_components
 from .textvec import SPACE_WORDS, Words, groups, mix, shingle_set, signed, text_buffer
 
 #: Text bytes that one shard should account for.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 24 << 20
 BLOCK_BYTES = 4 << 20
-LOW_BITS = 48
+LOW_BITS = 40
 WIDTH = 1024
 FANOUT = 4
 
@@ -100,8 +100,8 @@ def _send(n: int, shards: int):
                     key, place = key[order], place[order]
                     of = (key >> np.uint64(LOW_BITS)).astype(np.int64)
                     cut = np.searchsorted(of, np.arange(shards + 1))
-                    high = ((key >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    low = (key & np.uint64(0xFFFF)).astype(np.uint16)
+                    high = ((key >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    low = (key & np.uint64(0xFF)).astype(np.uint8)
                     rows = [s for s in range(shards) if cut[s] < cut[s + 1]]
                     for r in range(0, len(rows), 64):
                         take = rows[r: r + 64]
@@ -124,9 +124,9 @@ def _shared(table: pa.Table) -> pa.Table:
     high, low, node = [], [], []
     for h, lo, p, n in zip(*(table.column(c) for c in ("high", "low", "place", "nodes")), strict=True):
         high.append(np.frombuffer(h.as_buffer(), np.uint32))
-        low.append(np.frombuffer(lo.as_buffer(), np.uint16))
+        low.append(np.frombuffer(lo.as_buffer(), np.uint8))
         node.append(np.frombuffer(n.as_buffer(), np.uint64)[np.frombuffer(p.as_buffer(), np.uint16)])
-    key = np.concatenate(high).astype(np.uint64) << np.uint64(16) | np.concatenate(low)
+    key = np.concatenate(high).astype(np.uint64) << np.uint64(8) | np.concatenate(low)
     node = np.concatenate(node)
     order = np.argsort(key, kind="stable")
     key, node = key[order], node[order]
@@ -275,27 +275,27 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 75, den: in
              .agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("n_keys").alias("n_keys")))
     sent = docs.select("text").mapInArrow(_send(shingle, shards),
                                           "shard int, high binary, low binary, place binary, nodes binary")
-    held = materialize(sent.groupBy("shard").applyInArrow(_shared, "key long, node long, holders long"), "shared-keys")
+    held = sent.groupBy("shard").applyInArrow(_shared, "key long, node long, holders long")
 
-    # the first keys in order of (holders, key): unshared ones come first and join nothing
+    # the first keys in order of (holders, key): unshared ones come first and join nothing;
+    # most nodes end here, and only the others' shared keys are kept
     prefix = F.col("n") - F.ceil(F.col("n") * num / float(den)) + 1
-    by_node = W.Window.partitionBy("node")
-    ranked = (held.join(nodes.select("node", "n", "n_keys"), "node")
-              .withColumn("unshared", F.col("n_keys") - F.count("*").over(by_node))
-              .where(F.col("unshared") < prefix)
-              .withColumn("r", F.row_number().over(by_node.orderBy("holders", "key")))
-              .where(F.col("r") + F.col("unshared") <= prefix).select("key", "node", "n"))
+    shared = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "key"))).alias("keys"))
+    open_ = materialize(shared.join(nodes.select("node", "n", "n_keys"), "node")
+                        .withColumn("first", (prefix - (F.col("n_keys") - F.size("keys"))).cast("int"))
+                        .where(F.col("first") > 0)
+                        .select("node", "n", F.col("keys.key").alias("keys"), "first"), "shared-keys")
+    ranked = open_.select("node", "n", F.explode(F.slice("keys", 1, F.col("first"))).alias("key"))
     by_key = W.Window.partitionBy("key").orderBy("n", "node")
     edges = (ranked.withColumn("a", F.lag("node").over(by_key)).withColumn("m", F.lag("n").over(by_key))
              .where(F.col("a").isNotNull() & (F.col("m") * den >= F.col("n") * num))
              .select("a", F.col("node").alias("b")))
     family = connected_components(edges, "families")
 
-    member = (family.join(nodes.select("node", "n"), "node")
+    member = (family.join(open_.select("node", "n"), "node")
               .withColumn("block", F.floor((F.row_number().over(W.Window.partitionBy("component").orderBy("n", "node")) - 1)
                                            / leaf_block)))
-    member = materialize(held.join(member, "node").groupBy("node", "component", "block", "n")
-                         .agg(F.collect_list("key").alias("keys")), "family-members")
+    member = materialize(open_.select("node", "keys").join(member, "node"), "family-members")
     spans = member.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = spans.select(F.col("component").alias("c2"), F.col("block").alias("b2"), F.col("low").alias("low2"),
                          F.col("high").alias("high2"))
