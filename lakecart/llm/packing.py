@@ -15,6 +15,7 @@ moves.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -22,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,27 +38,79 @@ PIECE = T.ArrayType(T.StructType([T.StructField("piece", T.IntegerType()), T.Str
                                   T.StructField("ids", T.BinaryType())]))
 
 
+#: Words of these characters only (Latin letters, digits, punctuation) have the same lower
+#: case and composition in Python as in the tokenizer.
+_LATIN = regex.compile(r"[\x01-\u012F\u0131-\u024F\u2010-\u2027]+").fullmatch
+_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+#: Byte that ends a word in the merging vocabulary.
+_STOP = "\0"
+
+
+def _byte_characters() -> dict[str, int]:
+    """Character of a byte-level vocabulary -> byte: printable bytes are themselves, the
+    others follow from 256 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class WordTokenizer:
     """Ids of texts by a ``tokenizers`` file whose pre-tokens never reach over white space;
-    ids of the words between ASCII white space are kept, for words come back."""
+    ids of the words between ASCII white space are kept, for words come back.
+
+    New words of Latin characters are merged in one call over the file's own vocabulary,
+    its ids as ranks (a word-end token ends in a stop byte); all others go to the tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        special = {t.content for t in self.model.get_added_tokens_decoder().values()}
+        bytes_of = _byte_characters()
+        ranks = {}
+        for token, i in self.model.get_vocab(with_added_tokens=True).items():
+            if token not in special:
+                core = token.removesuffix("</w>")
+                ranks[bytes(bytes_of[c] for c in core) + (b"\0" if core != token else b"")] = i
+        self.ends = np.zeros(max(ranks.values()) + 1, bool)
+        self.ends[[i for x, i in ranks.items() if x.endswith(b"\0") and len(x) > 1]] = True
+        self.merger = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not kept."""
+        out, plain, pieces, counts = {}, [], [], []
+        for w in words:
+            text = w.decode()
+            if _LATIN(text):
+                lower = unicodedata.normalize("NFC", text).lower()
+                parts = [lower] if lower.isalpha() else _PRETOKEN(lower)
+                plain.append(w)
+                pieces += parts
+                counts.append(len(parts))
+            else:
+                out[w] = np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        if pieces:
+            ids = np.array(self.merger.encode_ordinary(_STOP.join(pieces) + _STOP), np.uint32)
+            stops = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1]) * 4
+            cut = stops[np.concatenate([[0], np.cumsum(counts)])].tolist()
+            data = ids.tobytes()
+            out.update((w, data[a:b]) for w, a, b in zip(plain, cut, cut[1:], strict=False))
+        else:
+            out.update(dict.fromkeys(plain, b""))
+        return out
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         words = [t.encode("utf-8", "replace").split() for t in texts]
         flat = [w for some in words for w in some]
         found = list(map(self.known.get, flat))
         if None in found:
-            new = list({w for w, f in zip(flat, found, strict=True) if f is None})
-            coded = self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            learnt = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(new, coded, strict=True)}
+            learnt = self._learn(list({w for w, f in zip(flat, found, strict=True) if f is None}))
             found = [learnt[w] if f is None else f for w, f in zip(flat, found, strict=True)]
             if len(self.known) + len(learnt) > CACHE_SIZE:
                 self.known.clear()
@@ -194,7 +248,7 @@ def slots(configurations: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = False,
-         rows_per_salt: int = 200_000) -> DataFrame:
+         rows_per_salt: int = 5_000) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``,
     little-endian, if asked for) of every piece of every document.
 
