@@ -34,16 +34,20 @@ def idiv(a: Column, b: Column) -> Column:
 
 
 def half_up_cents(cents: Column, n: Column) -> Column:
-    """round(cents / n) HALF_UP (away from zero) as decimal(18,2) money; NULL when n = 0."""
-    q = F.when(cents >= 0, idiv(cents * 2 + n, n * 2)).otherwise(-idiv(-cents * 2 + n, n * 2))
-    return F.when(n > 0, (q.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(MONEY))
+    """round(cents / n) HALF_UP (away from zero) as decimal(18,2) money; NULL when n = 0.
+    Whole-number arithmetic in ``decimal(38,0)``, so sums of any column of money fit."""
+    whole = "decimal(38,0)"
+    c, k = cents.cast(whole), F.nullif(n.cast(whole), F.lit(0).cast(whole))
+    twice = (F.abs(c) * 2).cast(whole) + k
+    step = (k * 2).cast(whole)
+    q = ((twice - twice % step).cast(whole) / step).cast("decimal(30,0)")
+    return F.when(n > 0, (F.when(c < 0, -q).otherwise(q) * F.lit(Decimal("0.01"))).cast(MONEY))
 
 
 def avg_money(c) -> Column:
-    """HALF_UP average to cents; NULL for an empty group.  Exact while a group's sum stays
-    below 4.6e16 money units (sum of cents held in a bigint)."""
+    """HALF_UP average to cents; NULL for an empty group."""
     col = _c(c)
-    return half_up_cents((F.sum(col) * 100).cast("bigint"), F.count(col))
+    return half_up_cents((F.sum(col) * 100).cast("decimal(38,0)"), F.count(col))
 
 
 def half_up_sql(cents: str, n: str) -> str:

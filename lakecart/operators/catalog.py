@@ -140,12 +140,12 @@ def changed(old, new) -> Column:
 
 # -------------------------------------------------------------------------- J8 / O4
 def keyed_diff(remote: DataFrame, local: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Full outer join by key -> ``create`` (only remote), ``delete`` (only local),
-    ``update`` (document differs, NULL-safe), ``same``."""
+    """What makes ``remote`` equal to ``local``, by key: ``create`` (only local),
+    ``delete`` (only remote), ``update`` (document differs, NULL-safe), ``same``."""
     r = remote.select(F.col(key), F.struct(*cols).alias("r_doc"), F.lit(True).alias("r_seen"))
     lo = local.select(F.col(key), F.struct(*cols).alias("l_doc"), F.lit(True).alias("l_seen"))
     j = r.join(lo, key, "full")
-    action = (F.when(F.col("l_seen").isNull(), "create").when(F.col("r_seen").isNull(), "delete")
+    action = (F.when(F.col("r_seen").isNull(), "create").when(F.col("l_seen").isNull(), "delete")
               .when(changed("r_doc", "l_doc"), "update").otherwise("same"))
     return j.select(key, action.alias("action"))
 

@@ -55,8 +55,8 @@ def score_cases(cases: DataFrame) -> DataFrame:
         "no_pii_leak": _score(F.lit(True), ~contains_pii(F.coalesce(F.col("answer"), F.lit("")))),
     }
     stacked = F.array(*[F.struct(F.lit(n).alias("evaluator"), s.alias("score")) for n, s in evaluators.items()])
-    return cases.select(safe_case_id("case_id").alias("case_id"), "kind", F.explode(stacked).alias("e"),
-                        F.col("error")).select("case_id", "kind", "e.evaluator", "e.score", "error")
+    return cases.select("case_id", safe_case_id("case_id").alias("comment"), "kind", F.explode(stacked).alias("e"),
+                        F.col("error")).select("case_id", "comment", "kind", "e.evaluator", "e.score", "error")
 
 
 def summarize(scores: DataFrame) -> DataFrame:
@@ -85,13 +85,13 @@ def _limits(df: DataFrame, mode: str) -> DataFrame:
 
 
 def threshold_gate(summary: DataFrame, mode: str = "offline") -> DataFrame:
-    """Every configured evaluator present and at or above its limit; the gate
-    blocks only in offline mode."""
+    """Every configured evaluator that has a score is at or above its limit; one that
+    never ran is skipped.  The gate blocks only in offline mode."""
     overall = summary.where(F.col("kind") == "(all)").select("evaluator", "score")
     lim = _limits(summary, mode)
     j = lim.join(overall, "evaluator", "left")
     return j.select("evaluator", "threshold", "score",
-                    (F.col("score").isNotNull() & (F.col("score") >= F.col("threshold"))).alias("passed"),
+                    F.coalesce(F.col("score") >= F.col("threshold"), F.lit(True)).alias("passed"),
                     F.lit(mode == "offline").alias("blocking"))
 
 
@@ -125,7 +125,7 @@ def order_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         return F.max(F.when((F.col("lo") <= rank) & (rank <= F.col("hi")), F.col(value)))
 
     g = cum.groupBy(*keys).agg(at(r95).alias("p95"), at(m1).alias("mid1"), at(m2).alias("mid2"))
-    med_cents = ((F.col("mid1") + F.col("mid2")) * 100).cast("bigint")
+    med_cents = ((F.col("mid1") + F.col("mid2")) * 100).cast("decimal(38,0)")
     return g.select(*keys, half_up_cents(med_cents, F.lit(2)).alias("median"), "p95")
 
 
@@ -136,7 +136,7 @@ def latency_report(samples: DataFrame, keys: list[str], value: str, limits: dict
     s = samples.select(*keys, F.col(value).cast("decimal(18,2)").alias("v"))
     basic = s.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        half_up_cents((F.sum("v") * 100).cast("bigint"), F.count("v")).alias("avg"),
+        half_up_cents((F.sum("v") * 100).cast("decimal(38,0)"), F.count("v")).alias("avg"),
         F.min("v").alias("min"), F.max("v").alias("max"))
     rep = basic.join(order_stats(s, keys, "v"), keys)
     if limits or default_limit is not None:

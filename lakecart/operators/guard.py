@@ -10,14 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.tables import spread
 
 PROMPT_NGRAM = 8
 
 
 def redact_corpus(df: DataFrame, text: str = "text") -> DataFrame:
     """The corpus with its redacted text and per-kind finding counts."""
-    df = spread(df)
     t = F.col(text)
     redacted = T.redact_secrets(T.redact_pii(t))
     marks = {
@@ -66,7 +64,7 @@ def prompt_overlap(texts: DataFrame, references: DataFrame, n: int = PROMPT_NGRA
     def grams(df, key, text_col):
         # The gram structs are built inside the row (one pass over the word array) and
         # only then exploded, so exploded rows never carry the whole text.
-        w = spread(df).select(F.col(key).alias("k"), _words(F.col(text_col)).alias("w"))
+        w = df.select(F.col(key).alias("k"), _words(F.col(text_col)).alias("w"))
         g = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(
             F.array_join(F.slice("w", i + 1, inner), " ").alias("mid"),
             F.element_at("w", i).alias("first"),
@@ -117,21 +115,25 @@ def previous_assistant(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", "type", F.last(ai, ignorenulls=True).over(w).alias("previous_ai_text"))
 
 
-def human_turn_index(turns: DataFrame) -> DataFrame:
-    """W5 building block: running count of human turns (the id of the exchange a message
-    belongs to) and the number of ai messages since the last human turn."""
+def tool_iterations(turns: DataFrame) -> DataFrame:
+    """For each turn, its exchange (running count of human turns) and how many ai
+    messages with tool calls (``tool_calls`` true) the exchange has had so far."""
     w = _conv_order().rowsBetween(Window.unboundedPreceding, 0)
-    x = turns.withColumn("exchange", F.sum(F.when(F.col("type") == "human", 1).otherwise(0)).over(w))
+    x = turns.withColumn("exchange", F.count_if(F.col("type") == "human").over(w))
     w2 = Window.partitionBy("conv_id", "exchange").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("ai_since_human", F.sum(F.when(F.col("type") == "ai", 1).otherwise(0)).over(w2))
+    calls = (F.col("type") == "ai") & F.coalesce(F.col("tool_calls"), F.lit(False))
+    return x.withColumn("tool_iterations", F.count_if(calls).over(w2))
 
 
 def transcript(turns: DataFrame) -> DataFrame:
     """human/ai rows with non-empty text; the position is counted per type before
-    empty rows are dropped; id ``agent-message:{type}:{position}``."""
+    empty rows are dropped; id: the message's own ``id``, if there is one, else
+    ``agent-message:{type}:{position}``."""
+    own = F.col("id") if "id" in turns.columns else F.lit(None).cast("string")
     chat = turns.where(F.col("type").isin("human", "ai"))
     pos = F.row_number().over(Window.partitionBy("conv_id", "type").orderBy("turn")) - 1
     x = chat.withColumn("position", pos)
     return x.where(F.length(F.regexp_replace("text", r"^\s+|\s+$", "")) > 0).select(
         "conv_id", "turn", "type", "position",
-        F.concat(F.lit("agent-message:"), F.col("type"), F.lit(":"), F.col("position").cast("string")).alias("id"))
+        F.coalesce(F.nullif(own, F.lit("")), F.concat(F.lit("agent-message:"), F.col("type"), F.lit(":"),
+                                                      F.col("position").cast("string"))).alias("id"))

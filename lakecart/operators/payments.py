@@ -30,45 +30,60 @@ CHECKOUT_RETRY_SECONDS = 30
 CATALOG_BASE_SECONDS, CATALOG_MAX_RETRY_AFTER, CATALOG_MAX_ATTEMPTS = 30, 3600, 5
 
 
+# What the provider's documents may hold.
+UUID_RE = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+ORDER_STATES = ("draft", "pending", "paid", "refunded", "partially_refunded", "void")
+CHECKOUT_STATES = ("open", "confirmed", "succeeded", "failed", "expired")
+ORDER_EVENTS = ("order.paid", "order.updated")
+CHECKOUT_EVENTS = ("checkout.updated", "checkout.expired")
+
+
+def _holds(*rules: Column) -> Column:
+    """All rules true (NULL counts as false)."""
+    out = F.lit(True)
+    for r in rules:
+        out = out & F.coalesce(r, F.lit(False))
+    return out
+
+
 def map_payment_events(raw: DataFrame, body: str = "body", event_id: str = "event_id") -> DataFrame:
     """One row per webhook with ``action`` in (``outcome``, ``drop``, ``error``) and the
     outcome columns.  First matching rule wins:
 
-    metadata present without ``order_id`` -> drop; ``order.paid`` not paid -> error;
-    ``order.paid`` -> succeeded (amount = subtotal); ``order.updated`` void and unpaid ->
-    failed ``polar_order_void``; other order events -> drop; checkout expired/failed ->
-    failed; anything else -> drop; an unparsable body -> error."""
+    unparsable body, type or time -> error; metadata without ``order_id`` -> drop; an order
+    or checkout document that breaks its schema (ids, states, amount, currency) -> error;
+    ``order.paid`` not paid -> error; ``order.paid`` -> succeeded (amount = subtotal);
+    ``order.updated`` void and unpaid -> failed ``polar_order_void``; other order events ->
+    drop; checkout expired/failed -> failed; anything else -> drop."""
     e = F.from_json(F.col(body), WEBHOOK)
-    x = raw.select(F.col(event_id).alias("event_id"), e.alias("e"))
+    x = raw.select(F.col(event_id).alias("event_id"), e.alias("e")).withColumn(
+        "at", F.when(F.col("e.timestamp").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}.*(Z|[+-]\d{2}:\d{2})$"),
+                     F.col("e.timestamp").try_cast("timestamp")))
     t, d = F.col("e.type"), F.col("e.data")
-    meta = d["metadata"]
-    foreign = meta.isNotNull() & ~F.coalesce(F.map_contains_key(meta, F.lit("order_id")), F.lit(False))
-    is_order = t.isin("order.paid", "order.updated")
-    is_checkout = t.isin("checkout.updated", "checkout.expired")
-    paid_ok = (d["status"] == "paid") & F.coalesce(d["paid"], F.lit(False))
-    void = (d["status"] == "void") & ~F.coalesce(d["paid"], F.lit(False))
-    action = (F.when(F.col("e").isNull() | t.isNull(), "error")
-              .when(foreign, "drop")
-              .when((t == "order.paid") & ~F.coalesce(paid_ok, F.lit(False)), "error")
-              .when(t == "order.paid", "outcome")
-              .when(is_order & F.coalesce(void, F.lit(False)), "outcome")
-              .when(is_order, "drop")
+    order_id = F.try_element_at(d["metadata"], F.lit("order_id"))
+    foreign = d["metadata"].isNotNull() & ~F.map_contains_key(d["metadata"], F.lit("order_id"))
+    is_order, is_checkout = t.isin(*ORDER_EVENTS), t.isin(*CHECKOUT_EVENTS)
+    named = (d["id"].rlike(UUID_RE), order_id.rlike(UUID_RE))
+    order_fits = _holds(*named, d["checkout_id"].rlike(UUID_RE), d["status"].isin(*ORDER_STATES), d["paid"].isNotNull(),
+                        d["subtotal_amount"] >= 0, F.length(d["currency"]) == 3)
+    checkout_fits = _holds(*named, d["status"].isin(*CHECKOUT_STATES))
+    paid = _holds(d["status"] == "paid", d["paid"])
+    action = (F.when(F.col("e").isNull() | t.isNull() | F.col("at").isNull(), "error")
+              .when(F.coalesce(foreign, F.lit(False)), "drop")
+              .when((is_order & ~order_fits) | (is_checkout & ~checkout_fits), "error")
+              .when((t == "order.paid") & ~paid, "error")
+              .when((t == "order.paid") | (is_order & _holds(d["status"] == "void", ~d["paid"])), "outcome")
               .when(is_checkout & d["status"].isin("expired", "failed"), "outcome")
               .otherwise("drop"))
-    outcome = F.when(t == "order.paid", "succeeded").otherwise("failed")
-    reason = (F.when(t == "order.paid", F.lit(None))
-              .when(is_order, F.lit(ORDER_VOID))
-              .when(d["status"] == "expired", F.lit(CHECKOUT_EXPIRED)).otherwise(F.lit(CHECKOUT_FAILED)))
-    return x.select(
-        "event_id", action.alias("action"),
-        F.when(action == "outcome", outcome).alias("outcome"),
-        F.when(action == "outcome", reason).alias("reason"),
-        F.when(action == "outcome", meta["order_id"]).alias("order_id"),
-        F.when(action == "outcome", F.when(is_order, d["checkout_id"]).otherwise(d["id"])).alias("checkout_id"),
-        F.when((action == "outcome") & is_order, d["id"]).alias("provider_order_id"),
-        F.when((action == "outcome") & (t == "order.paid"), d["subtotal_amount"]).alias("amount"),
-        F.when((action == "outcome") & (t == "order.paid"), d["currency"]).alias("currency"),
-        F.to_timestamp(F.col("e.timestamp")).alias("occurred_at"))
+    reason = (F.when(t == "order.updated", F.lit(ORDER_VOID))
+              .when(is_checkout, F.when(d["status"] == "expired", F.lit(CHECKOUT_EXPIRED)).otherwise(F.lit(CHECKOUT_FAILED))))
+    columns = {
+        "outcome": F.when(t == "order.paid", "succeeded").otherwise("failed"), "reason": reason, "order_id": order_id,
+        "checkout_id": F.when(is_order, d["checkout_id"]).otherwise(d["id"]),
+        "provider_order_id": F.when(is_order, d["id"]), "amount": F.when(t == "order.paid", d["subtotal_amount"]),
+        "currency": F.when(t == "order.paid", d["currency"]), "occurred_at": F.col("at")}
+    return x.withColumn("action", action).select(
+        "event_id", "action", *[F.when(F.col("action") == "outcome", c).alias(n) for n, c in columns.items()])
 
 
 def webhook_retry_at(now: Column) -> Column:

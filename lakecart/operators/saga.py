@@ -1,4 +1,4 @@
-"""Order saga state derived from the event log.
+"""Order saga state derived from the event log.
 
 Input: an event frame with ``event_id, order_key, occurred_at, subject, quantity,
 product_id, value, reason``.  The log's total order is ``(occurred_at, event_id)``.
@@ -68,14 +68,20 @@ def _after_placement(events: DataFrame, placed: DataFrame) -> DataFrame:
     return j.where(later)
 
 
+CLOSING = (SUCCEEDED, FAILED, RELEASED, REJECTED)
+
+
+def closing_columns(s: Column, reason: Column) -> list[Column]:
+    """``status`` and ``rejection_reason`` that a closing event gives its order."""
+    return [F.when(s == SUCCEEDED, "confirmed").when(s.isin(FAILED, RELEASED, REJECTED), "rejected").alias("status"),
+            F.when(s.isin(FAILED, REJECTED), reason).when(s == RELEASED, F.lit("payment_failed")).alias("rejection_reason")]
+
+
 def terminal_events(events: DataFrame) -> DataFrame:
     """Events that close an order, mapped to ``(status, rejection_reason)``."""
     s = F.col("subject")
-    status = F.when(s == SUCCEEDED, "confirmed").when(s.isin(FAILED, RELEASED, REJECTED), "rejected")
-    reason = (F.when(s == FAILED, F.col("reason")).when(s == RELEASED, F.lit("payment_failed"))
-              .when(s == REJECTED, F.col("reason")))
-    return (events.where(s.isin(SUCCEEDED, FAILED, RELEASED, REJECTED))
-            .select("order_key", "event_id", "occurred_at", status.alias("status"), reason.alias("rejection_reason")))
+    return events.where(s.isin(*CLOSING)).select("order_key", "event_id", "occurred_at",
+                                                 *closing_columns(s, F.col("reason")))
 
 
 def order_status(events: DataFrame) -> DataFrame:
@@ -105,40 +111,34 @@ def expires_at(placed_at: Column, checkout_expires_at: Column | None = None,
     return F.greatest(base, checkout_expires_at + F.make_dt_interval(secs=F.lit(CHECKOUT_GRACE_SECONDS)))
 
 
+def checkout_rows(events: DataFrame) -> DataFrame:
+    """Orders with a checkout row: the first reservation of an order opens one."""
+    return events.where((F.col("subject") == RESERVED) & (F.col("quantity") > 0)).select("order_key").distinct()
+
+
+def _due(status: DataFrame, now) -> DataFrame:
+    return status.where(F.col("status") == "pending").select(
+        "order_key", expires_at(F.col("placed_at")).alias("expires_at")
+    ).where(F.col("expires_at") <= F.lit(now).cast("timestamp_ntz"))
+
+
 def expire_orders(status: DataFrame, events: DataFrame, now) -> DataFrame:
     """Pending orders past their expiry with no succeeded payment (anti join, J6)
-    become ``expired`` with reason ``order_expired`` and a close event id."""
-    now_c = F.lit(now).cast("timestamp_ntz")
-    due = status.where(F.col("status") == "pending").select(
-        "order_key", expires_at(F.col("placed_at")).alias("expires_at")).where(F.col("expires_at") <= now_c)
+    become ``expired`` with reason ``order_expired``; those with a checkout row also get a
+    close event id, others NULL."""
     paid = events.where(F.col("subject") == SUCCEEDED).select("order_key")
-    return due.join(paid, "order_key", "left_anti").select(
+    rows = checkout_rows(events).withColumn("has_checkout", F.lit(True))
+    return _due(status, now).join(paid, "order_key", "left_anti").join(rows, "order_key", "left").select(
         "order_key", "expires_at", F.lit("expired").alias("status"), F.lit("order_expired").alias("rejection_reason"),
-        F.concat(F.lit("order-expire:"), F.col("order_key").cast("string")).alias("close_event_id"))
+        F.when(F.col("has_checkout"), F.concat(F.lit("order-expire:"), F.col("order_key").cast("string")))
+        .alias("close_event_id"))
 
 
 def expiry_skipped_paid(status: DataFrame, events: DataFrame, now) -> DataFrame:
     """Pending orders past expiry that do have a succeeded payment (semi join, J5),
     reported once per order."""
-    now_c = F.lit(now).cast("timestamp_ntz")
-    due = status.where(F.col("status") == "pending").select(
-        "order_key", expires_at(F.col("placed_at")).alias("expires_at")).where(F.col("expires_at") <= now_c)
     paid = events.where(F.col("subject") == SUCCEEDED).select("order_key")
-    return due.join(paid, "order_key", "left_semi")
-
-
-def late_payments(status: DataFrame, events: DataFrame) -> DataFrame:
-    """A succeeded payment arriving after the order was closed otherwise is recorded
-    (first one kept) and leaves the order unchanged."""
-    closed = status.where(~F.col("status").isin("pending", "confirmed")).select(
-        "order_key", "decided_at", "decided_event")
-    pays = events.where(F.col("subject") == SUCCEEDED).join(closed, "order_key").where(
-        (F.col("occurred_at") > F.col("decided_at"))
-        | ((F.col("occurred_at") == F.col("decided_at")) & (F.col("event_id") > F.col("decided_event"))))
-    return pays.groupBy("order_key").agg(
-        F.min_by("event_id", log_order()).alias("late_event_id"),
-        F.min("occurred_at").alias("late_at"),
-        F.min_by("value", log_order()).alias("late_amount"))
+    return _due(status, now).join(paid, "order_key", "left_semi")
 
 
 def released_stock(events: DataFrame) -> DataFrame:

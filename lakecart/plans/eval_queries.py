@@ -18,7 +18,8 @@ CALIBRATION_FACTOR, CALIBRATION_STEP = 1.5, 10
 def labelled_cases(spark, sf_dir):
     """Evaluation cases from the labelled corpus: every labelled document is a user input
     run through the input guard.  Spanish documents are ``domain`` cases (expected in
-    domain = quality label), the others ``guardrail`` cases (expected blocked = toxic)."""
+    domain = quality label), the others ``guardrail`` cases (expected blocked = toxic).  The
+    answer is the document itself, whole: V6 says which texts hold personal data."""
     v = Views(spark, sf_dir)
     docs = v.documents.select("doc_id", "text", "lang")
     d = v.labels.join(docs, "doc_id").withColumn("decision", input_decision("text"))
@@ -29,7 +30,7 @@ def labelled_cases(spark, sf_dir):
         F.col("decision.reason").isNull().alias("in_domain"),
         (F.col("toxic") == 1).alias("expected_blocked"),
         F.col("decision.reason").isNotNull().alias("blocked"),
-        F.col("decision.stored_text").alias("answer"),
+        F.col("text").alias("answer"),
         F.lit(None).cast("string").alias("error"))
 
 

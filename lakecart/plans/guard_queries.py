@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import guard
 from ..registry import register
 from .views import Views, sql_ctes
@@ -9,11 +11,17 @@ from .views import Views, sql_ctes
 
 @register("t1_redaction_summary")
 def t1(spark, sf_dir):
-    """No SQL oracle: the rules need look-around regexes and a Luhn check (covered by
-    the reference vectors in tests and a brute-force comparison on a small corpus)."""
+    """No SQL oracle: the rules need look-around regexes and a Luhn check.  Tests hold the
+    redacted texts against a brute-force version."""
     return guard.redaction_summary(guard.redact_corpus(Views(spark, sf_dir).documents))
 
 
+@register("t1_redacted_texts")
+def t1_texts(spark, sf_dir):
+    """Every document's redacted text and whether it held personal data."""
+    return guard.redact_corpus(Views(spark, sf_dir).documents).select("doc_id", "redacted", "has_pii")
+
+
 _FOLD = "replace(strip_accents(lower({c})), 'ß', 'ss')"
 
 
@@ -55,18 +63,24 @@ def w2(spark, sf_dir):
     return guard.previous_assistant(Views(spark, sf_dir).v_turns)
 
 
-@register("w5_exchange_index", sql_ctes("""SELECT conv_id, turn, type, text, exchange,
-  CAST(sum(CASE WHEN type = 'ai' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, exchange ORDER BY turn
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS ai_since_human
+_CALLS = ("calls", "SELECT *, length(text) % 3 = 0 AS tool_calls FROM v_turns")
+
+
+@register("w5_tool_iterations", sql_ctes("""SELECT conv_id, turn, type, exchange,
+  CAST(sum(CASE WHEN type = 'ai' AND tool_calls THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, exchange ORDER BY turn
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS tool_iterations
 FROM (SELECT *, CAST(sum(CASE WHEN type = 'human' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS exchange FROM v_turns)""", ["v_turns"]))
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS exchange FROM calls)""", ["v_turns"], [_CALLS]))
 def w5(spark, sf_dir):
-    return guard.human_turn_index(Views(spark, sf_dir).v_turns)
+    t = Views(spark, sf_dir).v_turns.withColumn("tool_calls", F.length("text") % 3 == 0)
+    return guard.tool_iterations(t).select("conv_id", "turn", "type", "exchange", "tool_iterations")
 
 
 @register("t13_transcript", sql_ctes("""SELECT conv_id, turn, type, position,
-  'agent-message:' || type || ':' || CAST(position AS VARCHAR) AS id
+  CASE WHEN turn % 5 = 2 THEN 'own-' || CAST(turn AS VARCHAR)
+    ELSE 'agent-message:' || type || ':' || CAST(position AS VARCHAR) END AS id
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, type ORDER BY turn) - 1 AS INTEGER) AS position
   FROM chat) WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0""", ["v_turns"], [_CHAT]))
 def t13(spark, sf_dir):
-    return guard.transcript(Views(spark, sf_dir).v_turns)
+    own = F.when(F.col("turn") % 5 == 2, F.concat(F.lit("own-"), F.col("turn").cast("string")))
+    return guard.transcript(Views(spark, sf_dir).v_turns.withColumn("id", own))

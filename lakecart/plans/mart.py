@@ -238,7 +238,7 @@ def kpi_summary(orders: DataFrame, payments: DataFrame, products: DataFrame,
         "low_or_oos_products": products.select(
             F.count_if(stock_band("stock").isin("low", "out_of_stock"))),
         "avg_daily_sales": daily.select(
-            F.coalesce(half_up_cents((F.sum("amount") * 100).cast("bigint"), F.count(F.lit(1))),
+            F.coalesce(half_up_cents((F.sum("amount") * 100).cast("decimal(38,0)"), F.count(F.lit(1))),
                        F.lit(0).cast("decimal(18,2)"))),
         "sales_days": daily.select(F.count(F.lit(1))),
         "items": items.select(F.count(F.lit(1))),

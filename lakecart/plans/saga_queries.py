@@ -41,7 +41,8 @@ def e1(spark, sf_dir):
 
 
 @register("e7_expire_orders", sql_ctes(f"""SELECT order_key, expires_at, 'expired' AS status,
-  'order_expired' AS rejection_reason, 'order-expire:' || CAST(order_key AS VARCHAR) AS close_event_id
+  'order_expired' AS rejection_reason, CASE WHEN EXISTS (SELECT 1 FROM v_saga r WHERE r.subject = 'inventory.reserved'
+    AND r.quantity > 0 AND r.order_key = d.order_key) THEN 'order-expire:' || CAST(order_key AS VARCHAR) END AS close_event_id
 FROM due d WHERE NOT EXISTS (SELECT 1 FROM v_saga s WHERE s.subject = 'payment.succeeded' AND s.order_key = d.order_key)""",
                                         ["v_saga"], _STATUS_CTES + (_DUE,)))
 def e7(spark, sf_dir):
@@ -57,17 +58,6 @@ def e8(spark, sf_dir):
     return saga.expiry_skipped_paid(st, ev, NOW)
 
 
-@register("e13_late_payments", sql_ctes(f"""SELECT order_key, event_id AS late_event_id, occurred_at AS late_at,
-  value AS late_amount FROM (
-  SELECT s.*, {_FIRST.format(k='s.order_key')} AS rn FROM v_saga s JOIN status c ON s.order_key = c.order_key
-  WHERE s.subject = 'payment.succeeded' AND c.status NOT IN ('pending', 'confirmed')
-    AND (s.occurred_at > c.decided_at OR (s.occurred_at = c.decided_at AND s.event_id > c.decided_event)))
-WHERE rn = 1""", ["v_saga"], _STATUS_CTES))
-def e13(spark, sf_dir):
-    ev, st = _status(spark, sf_dir)
-    return saga.late_payments(st, ev)
-
-
 @register("e5_released_stock", sql_ctes(f"""SELECT r.product_id, count(*) AS releases,
   CAST(sum(r.quantity) AS BIGINT) AS released_units
 FROM res r WHERE EXISTS (SELECT 1 FROM v_saga f WHERE f.subject = 'payment.failed' AND f.order_key = r.order_key

@@ -60,8 +60,8 @@ def apply_policy(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (local tests) do we create a scratch folder of our
-    own; on a cluster the setting always comes from the session.
+    Only a ``local`` master without the setting (tests) gets a scratch folder of our own;
+    on a cluster a missing setting is an error, for executors share no local folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -72,6 +72,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if current:
         return current.rstrip("/")
+    if not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="lakecart-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local

@@ -39,15 +39,3 @@ class Tables:
             return load(self.spark, self.sf_dir, name)
         raise AttributeError(name)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has task slots (one
-    big Parquet row group, a small file) before CPU-heavy row work such as regex scans or
-    Arrow UDFs.  On a cluster-sized input the partition count already exceeds the slots
-    and the frame is returned unchanged — no shuffle is added at scale."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (Spark Connect): leave the plan as is
-        return df
-    return df.repartition(slots) if parts < slots else df

@@ -5,19 +5,14 @@ Events are JSON lines ``{"subject": ..., "payload": {...}}``.  The same parsing
 validation serve batch (``spark.read``) and streaming (``spark.readStream``) sources;
 contract violations go to a reject output and the stream goes on.
 
-Streaming state:
-
-* inbox / notifications keep first-per-key with ``dropDuplicatesWithinWatermark``, whose
-  state is bounded by the watermark delay;
-* order status runs ``applyInPandasWithState`` keyed by order: the state holds the
-  placement, the decision and (rarely) closing events that arrived before the placement.
-  Decided orders are dropped from state after the watermark passes their decision time
-  plus the configured retention.
+Streaming state is as permanent as the rules are: an event id or a notification key is
+known for ever, so there is no watermark and no late row is dropped (a state store on disk
+keeps the keys).  Order status keeps one row per order and the closing events before its
+decision; ``stream_order_status`` can let a decided order's state go after a grace time.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,7 +70,8 @@ def validate_events(parsed: DataFrame) -> DataFrame:
         (~F.coalesce((p["quantity"] > 0) & (p["quantity"] == F.floor(p["quantity"])) & (p["quantity"] <= INT_MAX),
                      F.lit(False)), "quantity"),
         (p["items"].isNotNull() & ~F.coalesce(_cart_ok(p["items"]), F.lit(False)), "items"),
-        (~F.coalesce(p["occurredAt"].rlike(ISO_UTC_RE), F.lit(False)), "occurred_at"),
+        (~F.coalesce(p["occurredAt"].rlike(ISO_UTC_RE), F.lit(False)) | p["occurredAt"].try_cast("timestamp").isNull(),
+         "occurred_at"),
         ((s == "payment.failed") & ~F.coalesce(F.length(p["reason"]).between(1, 160), F.lit(False)), "reason"),
         ((s == "inventory.rejected") & ~F.coalesce(p["reason"].isin(*REJECT_REASONS), F.lit(False)), "reason"),
         (p["eventId"].isNotNull() & ~F.length(p["eventId"]).between(1, 200), "event_id"),
@@ -87,7 +83,7 @@ def validate_events(parsed: DataFrame) -> DataFrame:
         "raw", errors.alias("errors"),
         s.alias("subject"), p["orderId"].alias("order_id"), p["productId"].alias("product_id"),
         p["quantity"].cast("long").alias("quantity"), p["items"].alias("items"), p["buyerId"].alias("buyer_id"),
-        F.to_timestamp(p["occurredAt"]).cast("timestamp_ntz").alias("occurred_at"), p["reason"].alias("reason"),
+        p["occurredAt"].try_cast("timestamp").cast("timestamp_ntz").alias("occurred_at"), p["reason"].alias("reason"),
         F.coalesce(p["eventId"], F.sha2(F.col("raw"), 256)).alias("event_id"))
 
 
@@ -126,29 +122,17 @@ def as_saga_rows(good: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------- streaming twins
-def _watermarked(df: DataFrame, delay: str) -> DataFrame:
-    """Watermarks need an instant: the UTC wall-clock event time as a TIMESTAMP."""
-    return df.withColumn("_event_time", F.col("occurred_at").cast("timestamp")).withWatermark("_event_time", delay)
+def stream_inbox(events: DataFrame) -> DataFrame:
+    """E11 streaming: the first delivery of each event id, whenever it comes.  The id is a
+    permanent key: its state has no watermark."""
+    return events.where(F.length("event_id") <= 200).dropDuplicates(["event_id"])
 
 
-def stream_inbox(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """E11 streaming: first delivery per event id; dedupe state bounded by the watermark."""
-    return _watermarked(events, delay).dropDuplicatesWithinWatermark(["event_id"]).drop("_event_time")
-
-
-def stream_notifications(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """E22 streaming: one notification per ``subject/order``.  Equal to the batch job when
-    each key's first event (in log order) arrives first, as a log replayed in order does."""
-    s = F.col("subject")
-    subject_line = None
-    for k, v in saga.NOTIFICATION_SUBJECTS.items():
-        subject_line = F.when(s == k, v) if subject_line is None else subject_line.when(s == k, v)
-    wanted = events.where(s.isin(*saga.NOTIFICATION_SUBJECTS) & ~(
-        (s == saga.FAILED) & F.coalesce(F.col("reason").isin(*saga.SILENT_FAILURE_REASONS), F.lit(False))))
-    keyed = wanted.select(
-        F.concat(s, F.lit("/"), F.col("order_key").cast("string")).alias("idempotency_key"),
-        "subject", "order_key", "event_id", "occurred_at", subject_line.alias("notification_subject"))
-    return _watermarked(keyed, delay).dropDuplicatesWithinWatermark(["idempotency_key"]).drop("_event_time")
+def stream_notifications(events: DataFrame) -> DataFrame:
+    """E22 streaming, for the ``update`` output mode: one row per idempotency key, sent
+    again if an earlier event of the key comes late.  A sink keyed by it ends with the rows
+    of the batch job, in whatever order the log arrives."""
+    return saga.notifications(events)
 
 
 STATUS_OUT = T.StructType([
@@ -156,63 +140,71 @@ STATUS_OUT = T.StructType([
     T.StructField("status", T.StringType()), T.StructField("rejection_reason", T.StringType()),
     T.StructField("decided_at", T.TimestampNTZType()), T.StructField("version", T.LongType()),
 ])
+_CLOSING = T.ArrayType(T.StructType([
+    T.StructField("at", T.TimestampNTZType()), T.StructField("event", T.StringType()),
+    T.StructField("status", T.StringType()), T.StructField("reason", T.StringType())]))
 STATUS_STATE = T.StructType([
-    T.StructField("placed_at", T.TimestampNTZType()), T.StructField("placed_event", T.LongType()),
-    T.StructField("status", T.StringType()), T.StructField("reason", T.StringType()),
-    T.StructField("decided_at", T.TimestampNTZType()), T.StructField("decided_event", T.LongType()),
-    T.StructField("early", T.StringType()), T.StructField("version", T.LongType()),
+    T.StructField("placed_at", T.TimestampNTZType()), T.StructField("placed_event", T.StringType()),
+    T.StructField("closing", _CLOSING), T.StructField("version", T.LongType()),
 ])
-_TERMINAL = {saga.SUCCEEDED: "confirmed", saga.FAILED: "rejected", saga.RELEASED: "rejected",
-             saga.REJECTED: "rejected"}
-
 
-def _reason(subject, reason):
-    if subject == saga.RELEASED:
-        return "payment_failed"
-    if subject in (saga.FAILED, saga.REJECTED):
-        return reason
-    return None
 
-
-def _order_step(key, pdfs: Iterator[pd.DataFrame], state):
-    if state.exists:
-        (placed_at, placed_event, status, reason, decided_at, decided_event, early, version) = state.get
-        early = json.loads(early) if early else []
-    else:
-        placed_at = placed_event = status = reason = decided_at = decided_event = None
-        early, version = [], 0
-    rows = pd.concat(list(pdfs)) if pdfs else pd.DataFrame()
-    before = (placed_at, status, reason, decided_at)
-    if len(rows):
-        rows = rows.sort_values(["occurred_at", "event_id"], kind="stable")
-        for r in rows.itertuples(index=False):
-            t, eid = pd.Timestamp(r.occurred_at).to_pydatetime(), int(r.event_id)
-            if r.subject == saga.PLACED:
-                if placed_at is None or (t, eid) < (placed_at, placed_event):
-                    placed_at, placed_event = t, eid
-            elif r.subject in _TERMINAL:
-                early.append([t.isoformat(), eid, _TERMINAL[r.subject], _reason(r.subject, r.reason)])
-        # decide: the earliest closing event after the placement
-        if placed_at is not None:
-            cands = sorted((pd.Timestamp(c[0]).to_pydatetime(), c[1], c[2], c[3]) for c in early)
-            after = [c for c in cands if (c[0], c[1]) > (placed_at, placed_event)]
-            if after and (status is None or (after[0][0], after[0][1]) < (decided_at, decided_event)):
-                decided_at, decided_event, status, reason = after[0]
-            early = [[c[0].isoformat(), c[1], c[2], c[3]] for c in cands
-                     if decided_at is None or (c[0], c[1]) < (decided_at, decided_event)]
-    changed = (placed_at, status, reason, decided_at) != before
-    if changed:
-        version += 1
-    state.update((placed_at, placed_event, status, reason, decided_at, decided_event, json.dumps(early), version))
-    if changed and placed_at is not None:
-        yield pd.DataFrame([{"order_key": str(key[0]), "placed_at": placed_at, "status": status or "pending",
-                             "rejection_reason": reason, "decided_at": decided_at, "version": version}])
-
-
-def stream_order_status(events: DataFrame) -> DataFrame:
+def _order_step(grace_ms: int | None):
+    """Per order: the earliest placement, and closing events up to the decision (later
+    ones can't change it).  Rows are folded batch by batch."""
+
+    def step(key, pdfs: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        placed, closing, version = None, [], 0
+        if state.exists:
+            at, event, kept, version = state.get
+            placed = (at, event) if at is not None else None
+            closing = [tuple(c) for c in kept]
+
+        def decision():
+            after = [c for c in closing if placed is not None and (c[0], c[1]) > placed]
+            return min(after) if after else None
+
+        before = (placed, decision())
+        for pdf in pdfs:
+            first = pdf[pdf["subject"] == saga.PLACED]
+            if len(first):
+                at, event = min(zip(first["occurred_at"].dt.to_pydatetime(), first["event_id"], strict=True))
+                placed = min(placed, (at, event)) if placed else (at, event)
+            last = pdf[pdf["status"].notna()]
+            closing += zip(last["occurred_at"].dt.to_pydatetime(), last["event_id"], last["status"],
+                           last["rejection_reason"].where(last["rejection_reason"].notna(), None), strict=True)
+            decided = decision()
+            if decided:  # later events can't come before it, earlier ones may if the placement moves
+                closing = [c for c in set(closing) if (c[0], c[1]) <= decided[:2]]
+        decided = decision()
+        if (placed, decided) != before and placed is not None:
+            version += 1
+            status, reason = decided[2:] if decided else ("pending", None)
+            yield pd.DataFrame([{"order_key": str(key[0]), "placed_at": placed[0], "status": status,
+                                 "rejection_reason": reason, "decided_at": decided[0] if decided else None, "version": version}])
+        state.update((placed[0] if placed else None, placed[1] if placed else None, sorted(closing, key=lambda c: c[:2]), version))
+        if decided and grace_ms:
+            state.setTimeoutDuration(grace_ms)
+
+    return step
+
+
+def stream_order_status(events: DataFrame, grace_days: int | None = None) -> DataFrame:
     """E1 streaming twin: per order, emits the (placement, decision) whenever it changes;
-    the last version per order equals the batch ``order_status``."""
-    ev = events.select(F.col("order_key").cast("string").alias("order_key"), "occurred_at",
-                       F.col("event_id").cast("long").alias("event_id"), "subject", "reason")
+    the last version per order equals the batch ``order_status``.  Event ids are texts and
+    break ties as in the log's order.
+
+    ``grace_days``: for queries that run on, a decided order's state goes so long after its
+    last event (by the clock, so no row counts as late).  Without it state is kept, one
+    small row per order, which is what a run that ends (``availableNow``) needs."""
+    s = F.col("subject")
+    closing = saga.closing_columns(s, F.col("reason"))
+    ev = events.where(s.isin(saga.PLACED, *saga.CLOSING)).select(
+        F.col("order_key").cast("string").alias("order_key"), "occurred_at",
+        F.col("event_id").cast("string").alias("event_id"), "subject", *closing)
     return ev.groupBy("order_key").applyInPandasWithState(
-        _order_step, STATUS_OUT, STATUS_STATE, "update", GroupStateTimeout.NoTimeout)
+        _order_step(grace_days and grace_days * 86_400_000), STATUS_OUT, STATUS_STATE, "update",
+        GroupStateTimeout.ProcessingTimeTimeout if grace_days else GroupStateTimeout.NoTimeout)

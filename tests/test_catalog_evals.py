@@ -47,7 +47,7 @@ def test_keyed_diff_second_run_is_all_same(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k int, v string")
     b = spark.createDataFrame([(2, "z"), (3, None), (4, "w")], "k int, v string")
     d = {r.k: r.action for r in catalog.keyed_diff(a, b, "k", ["v"]).collect()}
-    assert d == {1: "create", 2: "update", 3: "same", 4: "delete"}
+    assert d == {1: "delete", 2: "update", 3: "same", 4: "create"}
     assert {r.action for r in catalog.keyed_diff(a, a, "k", ["v"]).collect()} == {"same"}
 
 
@@ -77,7 +77,8 @@ def test_summary_and_gate(spark):
     assert s[("(all)", "domain_correct")] == (0.5, 2, 1)
     assert s[("guardrail", "guardrail_correct")] == (1.0, 1, 0)
     gate = {r.evaluator: r.passed for r in evals.threshold_gate(evals.summarize(scores)).collect()}
-    assert gate["guardrail_correct"] and not gate["domain_correct"] and not gate["no_pii_leak"]
+    assert gate["guardrail_correct"] and not gate["domain_correct"]
+    assert gate["no_pii_leak"]  # it never ran: skipped, not failed
     fails = [(r.case_id, r.evaluator) for r in evals.failures(scores).collect()]
     assert fails == [("b", "domain_correct")]
     conf = spark.createDataFrame([(True, True), (True, False), (False, False)], "e boolean, a boolean")
