@@ -115,6 +115,15 @@ def previous_assistant(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", "type", F.last(ai, ignorenulls=True).over(w).alias("previous_ai_text"))
 
 
+def human_turn_index(turns: DataFrame) -> DataFrame:
+    """Running count of human turns (the exchange a message belongs to) and of the ai
+    messages in it so far."""
+    w = _conv_order().rowsBetween(Window.unboundedPreceding, 0)
+    x = turns.withColumn("exchange", F.count_if(F.col("type") == "human").over(w))
+    w2 = Window.partitionBy("conv_id", "exchange").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumn("ai_since_human", F.count_if(F.col("type") == "ai").over(w2))
+
+
 def tool_iterations(turns: DataFrame) -> DataFrame:
     """For each turn, its exchange (running count of human turns) and how many ai
     messages with tool calls (``tool_calls`` true) the exchange has had so far."""
