@@ -91,6 +91,42 @@ def orders_of(orders: DataFrame, buyers: DataFrame | None = None, status: str |
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def clean_search_params(requests: DataFrame, strict: bool = True) -> DataFrame:
+    """Search requests (``q, min_price, max_price`` texts) cleaned: the term trimmed,
+    empty to NULL, ``valid`` false beyond 100 characters; a price must be digits with at
+    most two decimals, ``''`` is none.  ``min > max`` is invalid in the strict form, and
+    drops both bounds in the lenient one."""
+    price = r"^\d+(\.\d{1,2})?$"
+    q = F.nullif(F.trim("q"), F.lit(""))
+    low, high = (F.nullif(F.col(c), F.lit("")) for c in ("min_price", "max_price"))
+    fits = (F.coalesce(F.length(q), F.lit(0)) <= 100) & F.coalesce(low.rlike(price), F.lit(True)) & F.coalesce(high.rlike(price), F.lit(True))
+    lo, hi = (F.when(c.rlike(price), c.try_cast("decimal(18,2)")) for c in (low, high))
+    crossed = F.coalesce(lo > hi, F.lit(False))
+    rest = [c for c in requests.columns if c not in ("q", "min_price", "max_price")]
+    if strict:
+        return requests.select(*rest, q.alias("q"), lo.alias("min_price"), hi.alias("max_price"), (fits & ~crossed).alias("valid"))
+    return requests.select(*rest, q.alias("q"), F.when(~crossed, lo).alias("min_price"), F.when(~crossed, hi).alias("max_price"),
+                           fits.alias("valid"))
+
+
+def lookup_stock(products: DataFrame, requests: DataFrame) -> DataFrame:
+    """``request_id, ids`` (1 to 10) -> a row for every id in its place; an unknown id
+    has ``found`` and ``available`` false and no stock."""
+    ids = requests.where(F.size("ids").between(1, 10)).select("request_id", F.posexplode("ids").alias("place", "product_id"))
+    p = products.select("product_id", "stock", F.lit(True).alias("seen"))
+    return ids.join(p, "product_id", "left").select(
+        "request_id", "place", "product_id", F.coalesce("seen", F.lit(False)).alias("found"), "stock",
+        F.coalesce(F.col("stock") > 0, F.lit(False)).alias("available"))
+
+
+def order_detail(orders: DataFrame, items: DataFrame, requests: DataFrame) -> DataFrame:
+    """a row for every line of each requested order (``order_id, buyer``) that is the
+    buyer's own: title, quantity and unit price text; other orders give no row."""
+    own = requests.join(orders.select("order_id", F.col("customer_id").alias("buyer"), "status"), ["order_id", "buyer"])
+    return own.join(items, "order_id").select("order_id", "status", "product_id", "title", "quantity",
+                                              cents_to_text("unit_amount").alias("unit_price_text"))
+
+
 def due_jobs(queue: DataFrame, now, k: int, due: str = "next_attempt_at", order=("next_attempt_at",),
              processed: str | None = "processed_at") -> DataFrame:
     """unprocessed jobs due at ``now``, first ``k`` in queue order (TakeOrdered)."""

@@ -29,5 +29,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from .plans import (catalog_queries, checkout_queries, eval_queries, guard_queries, lake_queries,  # noqa: F401
+    from .plans import (cart_queries, catalog_queries, checkout_queries, eval_queries, guard_queries, lake_queries,  # noqa: F401
                         mart_queries, saga_queries)
