@@ -135,24 +135,33 @@ def compare_models(reports: DataFrame, models: list[str], measures: list[str]) -
 
 
 # ----------------------------------------------------------------------------- Q15
-def order_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def order_stats(df: DataFrame, keys: list[str], value: str, buckets: int = 1024) -> DataFrame:
     """Exact median (mean of the two middle values for even n, HALF_UP to cents) and
-    nearest-rank p95 (the ``ceil(0.95 n)``-th smallest) per group, computed from
-    per-value counts: values are first counted per (group, value) — a partial aggregate —
-    then a running count over the distinct values of each group locates the ranks."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    cum = counts.withColumn("hi", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-                .withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-    cum = cum.withColumn("lo", F.col("hi") - F.col("c") + 1)
-    r95 = F.ceil(F.col("n") * F.lit(0.95).cast("decimal(3,2)"))
-    m1 = F.floor((F.col("n") + 1) / 2)
-    m2 = F.floor(F.col("n") / 2) + 1
-
-    def at(rank):
-        return F.max(F.when((F.col("lo") <= rank) & (rank <= F.col("hi")), F.col(value)))
-
-    g = cum.groupBy(*keys).agg(at(r95).alias("p95"), at(m1).alias("mid1"), at(m2).alias("mid2"))
+    nearest-rank p95 (the ``ceil(0.95 n)``-th smallest) per group.
+
+    Values are counted per group and coarse bucket of the group's range; cumulating these
+    few counts tells which bucket holds each wanted rank, and only the values of those
+    buckets are ranked.  No group's values meet in one task."""
+    span = df.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    width = F.nullif((F.col("high") - F.col("low")).cast("double"), F.lit(0.0))
+    bucket = F.coalesce(F.floor((F.col(value) - F.col("low")).cast("double") / width * buckets), F.lit(0)).cast("long")
+    placed = df.where(F.col(value).isNotNull()).join(span, keys).withColumn("bucket", bucket)
+    coarse = placed.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("c"))
+    running = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    coarse = (coarse.withColumn("hi", F.sum("c").over(running)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+              .withColumn("before", F.col("hi") - F.col("c")))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in (
+        ("p95", F.ceil(F.col("n") * F.lit(0.95).cast("decimal(3,2)"))), ("mid1", F.floor((F.col("n") + 1) / 2)),
+        ("mid2", F.floor(F.col("n") / 2) + 1))])
+    wanted = (coarse.select(*keys, "bucket", "before", "hi", F.explode(ranks).alias("w"))
+              .where((F.col("before") < F.col("w.rank")) & (F.col("w.rank") <= F.col("hi"))))
+    inner = placed.join(wanted.select(*keys, "bucket").distinct(), [*keys, "bucket"]).groupBy(*keys, "bucket", value).agg(
+        F.count(F.lit(1)).alias("k"))
+    upto = Window.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    inner = inner.withColumn("upto", F.sum("k").over(upto))
+    at = inner.join(wanted, [*keys, "bucket"]).where(
+        (F.col("before") + F.col("upto") - F.col("k") < F.col("w.rank")) & (F.col("w.rank") <= F.col("before") + F.col("upto")))
+    g = at.groupBy(*keys).agg(*[F.max(F.when(F.col("w.name") == m, F.col(value))).alias(m) for m in ("p95", "mid1", "mid2")])
     med_cents = ((F.col("mid1") + F.col("mid2")) * 100).cast("decimal(38,0)")
     return g.select(*keys, half_up_cents(med_cents, F.lit(2)).alias("median"), "p95")
 
