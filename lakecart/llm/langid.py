@@ -107,16 +107,17 @@ def solve(bits: np.ndarray, langs: list[str], n_marks: int, ridge: float) -> Mod
 
 
 def fit(train: DataFrame, per_language: int = 400, landmarks: int = 24, max_rows: int = 4000,
-        ridge: float = 1e-4) -> Model | None:
+        max_languages: int = 500, ridge: float = 1e-4) -> Model | None:
     """Model from ``doc_id, text, lang`` rows; rows without a language or a letter are no
-    examples.  None if no example is left."""
+    examples, nor are languages beyond the ``max_languages`` most frequent.  None if no
+    example is left."""
     named = train.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    sizes = train.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"))
-    n_langs = max(1, sizes.count())
-    quota = max(1, min(per_language, max_rows // n_langs))
-    sizes = sizes.select(F.col("lang").alias("its_lang"), "n")
+    sizes = (train.where(F.col("lang").isNotNull()).groupBy(F.col("lang").alias("its_lang")).agg(F.count("*").alias("n"))
+             .orderBy(F.desc("n"), "its_lang").limit(max_languages))
+    quota = max(1, min(per_language, max_rows // max(1, sizes.count())))
     order = hash_fraction("doc_id", "lang")
-    near = (named.withColumn("u", order).join(sizes, F.col("lang") == F.col("its_lang"))
+    near = (named.withColumn("u", order)
+            .join(F.broadcast(sizes), F.col("lang") == F.col("its_lang"))  # max_languages bounds it
             .where(F.col("u") * F.col("n") <= 2.0 * quota + 20))
     ranked = near.withColumn("r", F.row_number().over(W.Window.partitionBy("lang").orderBy("u", F.xxhash64("text"))))
 
