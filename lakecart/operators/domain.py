@@ -23,7 +23,7 @@ TOPIC_RES = {
     "pagos_envios": r"\b(?:descuento\w*|pago\w*|yape|plin|tarjeta\w*|envio\w*|devolucion\w*)\b",
     "pedidos": r"\b(?:pedido\w*|orden\w*)\b",
     "carrito": r"\bcarrito\b",
-    "productos": (r"\b(?:mercadoya|tienda|producto\w*|catalogo|precio\w*|stock|talla\w*|presupuesto|marca\w*|compr\w*|"
+    "productos": (r"\b(?:tienda|producto\w*|catalogo|precio\w*|stock|talla\w*|presupuesto|marca\w*|compr\w*|"
                   r"busco|busca|buscar|venden|tienen|audifono\w*|zapatilla\w*|regalo\w*|compara\w*)\b"),
 }
 # Greetings (the whole message) and words that point back.
@@ -40,16 +40,20 @@ SIZE_RE = r"^(?:talla\s+)?(?:\d{1,3}|[a-z]{1,4})$"
 BUDGET_RE = r"^(?:s/\s*)?\d+(?:[.,]\d+)?(?:\s*soles)?$"
 
 
-def topic(folded: Column) -> Column:
-    """The category of one folded text, without its context."""
+def topic(folded: Column, shop_name: str | None = None) -> Column:
+    """The category of one folded text, without its context.  The shop's own name
+    (``shop_name``, folded) is a word of ``productos`` too."""
     t = F.btrim(folded, F.lit(" ¿¡"))
     out = F.when(t.rlike(FOREIGN_RE) & ~t.rlike("(?s)" + WARES_RE), OUTSIDE).when(t.rlike(GREETING_RE), CHAT)
     for name, pattern in TOPIC_RES.items():
-        out = out.when(t.rlike(pattern), name)
+        said = t.rlike(pattern)
+        if name == "productos" and shop_name:
+            said = said | t.rlike(rf"\b\Q{shop_name}\E\b")
+        out = out.when(said, name)
     return out.otherwise(OUTSIDE)
 
 
-def classify_domain(turns: DataFrame) -> DataFrame:
+def classify_domain(turns: DataFrame, shop_name: str | None = None) -> DataFrame:
     """T5: ``conv_id, turn, category, in_domain`` of every human turn.  A message outside
     the domain, of at most six words, that points back and has no foreign word, belongs to
     the conversation if the buyer has just confirmed something (``recent_confirmation``,
@@ -57,7 +61,7 @@ def classify_domain(turns: DataFrame) -> DataFrame:
     confirmed = F.coalesce(F.col("recent_confirmation"), F.lit(False)) if "recent_confirmation" in turns.columns else F.lit(False)
     x = turns.where(F.col("type").isin("human", "ai")).select(
         "conv_id", "turn", "type", "text", confirmed.alias("confirmed"), fold_text("text").alias("folded"))
-    x = x.withColumn("own", topic(F.col("folded")))
+    x = x.withColumn("own", topic(F.col("folded"), shop_name))
     opens = (F.col("own") != OUTSIDE) & ~F.contains("text", F.lit(BLOCKED_TEXT)) & ~F.startswith("text", F.lit(REFUSAL))
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("opened", F.last(F.when(F.col("type") == "ai", opens), ignorenulls=True).over(before))

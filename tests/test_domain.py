@@ -26,6 +26,12 @@ def test_topics(spark):
     assert found == want
 
 
+def test_the_shop_name_is_a_topic(spark):
+    rows = spark.createDataFrame([(1, 0, "human", "¿qué es Tiendita?")], "conv_id int, turn int, type string, text string")
+    assert domain.classify_domain(rows).first().category == domain.OUTSIDE
+    assert domain.classify_domain(rows, "tiendita").first().category == "productos"
+
+
 def test_confirmation_opens_a_follow_up(spark):
     rows = spark.createDataFrame([(1, 0, "human", "sí, ese", True), (2, 0, "human", "sí, ese", False)],
                                  "conv_id int, turn int, type string, text string, recent_confirmation boolean")
