@@ -31,7 +31,7 @@ DIM = 1 << BITS
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
 SHARPNESS = 4.0
-BATCH = 32
+BATCH = 16
 
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 _letter = regex.compile(r"\p{L}").search

@@ -32,7 +32,7 @@ from pyspark.sql import window as W
 from .common import materialize
 from .textvec import groups, text_buffer
 
-CACHE_SIZE = 600_000
+CACHE_SIZE = 150_000
 PIECE = T.ArrayType(T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
                                   T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
                                   T.StructField("ids", T.BinaryType())]))

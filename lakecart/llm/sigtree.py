@@ -33,7 +33,7 @@ from .textvec import SPACE_WORDS, Words, groups, mix, shingle_set, signed, text_
 
 #: Text bytes that one shard should account for.
 SHARD_BYTES = 24 << 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 LOW_BITS = 40
 WIDTH = 1024
 FANOUT = 4

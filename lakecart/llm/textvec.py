@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 #: Texts are cut into groups of about this many bytes (never inside a text): it bounds
 #: the size of the work arrays, not what is processed.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

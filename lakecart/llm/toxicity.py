@@ -90,10 +90,11 @@ def _epoch(table: pa.Table, state: tuple | None, rates: Rates, min_docs: int) ->
     lists = table.column("slots").combine_chunks()
     flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
     offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-    slots, where, count = np.unique(flat, return_inverse=True, return_counts=True)
-    known = count >= min_docs
-    place = np.cumsum(known) - 1
-    slots = slots[known]
+    ranked = np.sort(flat)
+    first = np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1]) if len(ranked) else np.empty(0, np.int64)
+    slots = ranked[first[np.diff(np.append(first, len(ranked))) >= min_docs]]
+    del ranked, first
+    ends = np.append(slots, np.uint32(0))  # a place past the last slot holds no feature
     z, n = np.zeros(len(slots) + 1), np.zeros(len(slots) + 1)  # the last coordinate is the bias
     if state is not None:
         old, old_z, old_n, bias = state
@@ -103,8 +104,9 @@ def _epoch(table: pa.Table, state: tuple | None, rates: Rates, min_docs: int) ->
         z[-1], n[-1] = bias
     y = table.column("label").to_numpy()
     for i in range(len(y)):
-        w = where[offsets[i]: offsets[i + 1]]
-        x = np.append(place[w[known[w]]], len(slots))
+        ids = flat[offsets[i]: offsets[i + 1]]
+        at = np.searchsorted(slots, ids)
+        x = np.append(at[(at < len(slots)) & (ends[at] == ids)], len(slots))
         weight = rates.weight(z[x], n[x])
         if x[-1] == len(slots):  # the bias has no L1
             weight[-1] = -z[-1] / ((rates.beta + np.sqrt(n[-1])) / rates.alpha)
