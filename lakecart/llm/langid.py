@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .common import hash_fraction
-from .textvec import groups, text_buffer
+from .textvec import groups, release, text_buffer
 
 BITS = 15
 DIM = 1 << BITS
@@ -154,6 +154,7 @@ def predict(spark: SparkSession, text: Column, model: Model | None) -> Column:
                 best = p.argmax(1)
                 scores[np.array(some) + a] = p.max(1) / p.sum(1)
                 langs[np.array(some) + a] = [m.languages[j] for j in best]
+        release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang_pred", "score"])
 
     return run(text)

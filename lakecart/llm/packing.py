@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .common import materialize
-from .textvec import groups, text_buffer
+from .textvec import groups, release, text_buffer
 
 CACHE_SIZE = 150_000
 PIECE = T.ArrayType(T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -143,6 +143,7 @@ def pieces_of(text: Column, path: str, end_id: int, capacity: int, with_ids: boo
                 cut = [ids[k: k + size] for k in range(0, len(ids), size)]
                 rows.append([{"piece": k, "start": k * capacity, "length": len(x) // 4, "ids_crc32": zlib.crc32(x),
                               "ids": x if with_ids else None} for k, x in enumerate(cut)])
+        release()
         return pa.array(rows, pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                                                   ("ids_crc32", pa.int64()), ("ids", pa.binary())])))
 

@@ -29,7 +29,7 @@ from pyspark.sql import window as W
 
 from .common import materialize
 from .graph import connected_components
-from .textvec import SPACE_WORDS, Words, groups, mix, shingle_set, signed, text_buffer
+from .textvec import SPACE_WORDS, Words, groups, mix, release, shingle_set, signed, text_buffer
 
 #: Text bytes that one shard should account for.
 SHARD_BYTES = 24 << 20
@@ -72,6 +72,7 @@ def _info(n: int, shards: int):
             size.append([len(s) for s in sets])
             keys.append([np.count_nonzero(np.diff(s >> shift)) + 1 if len(s) else 0 for s in sets])
         node = np.concatenate(node) if node else np.empty(0, np.uint64)
+        release()
         return pa.StructArray.from_arrays(
             [pa.array(signed(node), pa.int64(), mask=node == 0),
              pa.array(np.concatenate(size) if size else [], pa.int64()),
@@ -86,6 +87,7 @@ def _send(n: int, shards: int):
 
     def run(batches):
         for batch in batches:
+            release()
             for _, nodes, sets in _sets(batch.column(0), n, BLOCK_BYTES):
                 first = np.unique(nodes, return_index=True)[1]
                 first = first[nodes[first] != 0]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import hash_fraction, materialize
-from .textvec import ALNUM_WORDS, Words, groups, list_array, ngram_hash, text_buffer
+from .textvec import ALNUM_WORDS, Words, groups, list_array, ngram_hash, release, text_buffer
 
 #: (words, words skipped after the first) of each kind of feature.
 KINDS = ((1, 0), (2, 0), (2, 1))
@@ -91,9 +91,9 @@ def _epoch(table: pa.Table, state: tuple | None, rates: Rates, min_docs: int) ->
     flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
     offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
     ranked = np.sort(flat)
-    first = np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1]) if len(ranked) else np.empty(0, np.int64)
-    slots = ranked[first[np.diff(np.append(first, len(ranked))) >= min_docs]]
-    del ranked, first
+    ahead = ranked[min_docs - 1:]  # a slot occurs min_docs times if the place that far on holds it too
+    slots = np.unique(ahead[ahead == ranked[: len(ahead)]])
+    del ranked, ahead
     ends = np.append(slots, np.uint32(0))  # a place past the last slot holds no feature
     z, n = np.zeros(len(slots) + 1), np.zeros(len(slots) + 1)  # the last coordinate is the bias
     if state is not None:
@@ -114,6 +114,7 @@ def _epoch(table: pa.Table, state: tuple | None, rates: Rates, min_docs: int) ->
         rate = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / rates.alpha
         z[x] += g - rate * weight
         n[x] += g * g
+    release()
     out = [slots.astype(np.int64), z[:-1], n[:-1]]
     return pa.table({"slot": pa.array(np.append(out[0], -1)), "z": pa.array(np.append(out[1], z[-1])),
                      "n": pa.array(np.append(out[2], n[-1]))})
@@ -175,6 +176,7 @@ def score(spark: SparkSession, text: Column, model: Model) -> Column:
             hit = m.slots[at] == slot
             key = np.unique(owner[hit].astype(np.int64) * len(m.slots) + at[hit])
             total[a: a + n] += np.bincount(key // len(m.slots), m.weights[key % len(m.slots)], minlength=n)
+        release()
         return pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -30, 30))))
 
     return run(text)
