@@ -57,20 +57,21 @@ def _sets(texts: pa.Array, n: int, block_bytes: int):
         yield a, nodes, sets
 
 
-def _shift(shards: int) -> np.uint64:
-    return np.uint64(64 - LOW_BITS - (shards - 1).bit_length())
+def shard_keys(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """``hash * shards / 2^24`` rounded down: the shard, an equal range of the hashes for any
+    number of shards (below 2^24), and the ``LOW_BITS`` below it; keeps the order of hashes."""
+    n, half = np.uint64(shards), np.uint64(32)
+    return (((hashes >> half) * n) << np.uint64(LOW_BITS - 32)) + (((hashes & np.uint64(0xFFFFFFFF)) * n) >> np.uint64(64 - LOW_BITS))
 
 
 def _info(n: int, shards: int):
-    shift = _shift(shards)
-
     @F.arrow_udf(_INFO)
     def run(texts: pa.Array) -> pa.Array:
         node, size, keys = [], [], []
         for _, nodes, sets in _sets(texts, n, BLOCK_BYTES):
             node.append(nodes)
             size.append([len(s) for s in sets])
-            keys.append([np.count_nonzero(np.diff(s >> shift)) + 1 if len(s) else 0 for s in sets])
+            keys.append([np.count_nonzero(np.diff(shard_keys(s, shards))) + 1 if len(s) else 0 for s in sets])
         node = np.concatenate(node) if node else np.empty(0, np.uint64)
         release()
         return pa.StructArray.from_arrays(
@@ -83,8 +84,6 @@ def _info(n: int, shards: int):
 
 def _send(n: int, shards: int):
     """Each block's distinct keys by shard: high and low part, and the node's place."""
-    shift = _shift(shards)
-
     def run(batches):
         for batch in batches:
             release()
@@ -93,7 +92,7 @@ def _send(n: int, shards: int):
                 first = first[nodes[first] != 0]
                 for k in range(0, len(first), 60_000):  # places fit 16 bits
                     some = first[k: k + 60_000]
-                    parts = [np.unique(sets[i] >> shift) for i in some]
+                    parts = [np.unique(shard_keys(sets[i], shards)) for i in some]
                     if not parts:
                         continue
                     key = np.concatenate(parts)
@@ -122,21 +121,26 @@ def _send(n: int, shards: int):
 
 def _shared(table: pa.Table) -> pa.Table:
     """Keys of a shard that two nodes or more hold: a row for each holder."""
+    release()
     shard = table.column("shard")[0].as_py()
-    high, low, node = [], [], []
-    for h, lo, p, n in zip(*(table.column(c) for c in ("high", "low", "place", "nodes")), strict=True):
-        high.append(np.frombuffer(h.as_buffer(), np.uint32))
-        low.append(np.frombuffer(lo.as_buffer(), np.uint8))
-        node.append(np.frombuffer(n.as_buffer(), np.uint64)[np.frombuffer(p.as_buffer(), np.uint16)])
-    key = np.concatenate(high).astype(np.uint64) << np.uint64(8) | np.concatenate(low)
-    node = np.concatenate(node)
-    order = np.argsort(key, kind="stable")
-    key, node = key[order], node[order]
-    alone = np.ones(len(key), bool)
-    same = key[1:] == key[:-1]
-    alone[1:] &= ~same
-    alone[:-1] &= ~same
-    key, node = key[~alone], node[~alone]
+    columns = [table.column(c) for c in ("high", "low", "place", "nodes")]
+
+    def whole(high, low):
+        key = np.frombuffer(high.as_buffer(), np.uint32).astype(np.uint64) << np.uint64(8)
+        key |= np.frombuffer(low.as_buffer(), np.uint8)
+        return key
+
+    often = np.concatenate([whole(h, lo) for h, lo in zip(*columns[:2], strict=True)])
+    often.sort()
+    often = np.unique(often[1:][often[1:] == often[:-1]])  # only their holders are ever unpacked
+    key, node = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for h, lo, p, n in zip(*columns, strict=True):
+        part = whole(h, lo)
+        at = np.searchsorted(often, part)
+        held = np.flatnonzero(often[np.minimum(at, len(often) - 1)] == part) if len(often) else []
+        key.append(part[held])
+        node.append(np.frombuffer(n.as_buffer(), np.uint64)[np.frombuffer(p.as_buffer(), np.uint16)[held]])
+    key, node = np.concatenate(key), np.concatenate(node)
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     new = np.ones(len(key), bool)  # copies in several blocks send a key again

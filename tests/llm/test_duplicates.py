@@ -4,6 +4,7 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import zlib
@@ -81,6 +82,24 @@ def test_jaccard_brute_force(spark, leaf_block):
     assert got == brute_jaccard(rows)
 
 
+@pytest.mark.parametrize("shards", [8, 9, 21])
+def test_jaccard_sends_every_key(spark, monkeypatch, shards):
+    rows = near_copies(40, 90, 6) + near_copies(20, 9, 2, 700) + [(800 + i, prose(60, i)) for i in range(20)]
+    texts = pa.array([t for _, t in rows])
+    nodes, keys = {}, 0
+    for _, node, sets in sigtree._sets(texts, 5, sigtree.BLOCK_BYTES):
+        nodes |= {int(x): len(np.unique(sigtree.shard_keys(s, shards))) for x, s in zip(node, sets, strict=True)}
+    for batch in sigtree._send(5, shards)([pa.RecordBatch.from_arrays([texts], ["text"])]):
+        assert set(batch.column("shard").to_pylist()) <= set(range(shards))
+        keys += sum(len(x) for x in batch.column("low").to_pylist())
+    assert keys == sum(nodes.values())
+    size = sum(len(t.encode()) for _, t in rows)
+    monkeypatch.setattr(sigtree, "SHARD_BYTES", size // shards)
+    assert max(8, -(-size // sigtree.SHARD_BYTES)) in (shards, shards + 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in sigtree.jaccard_components(df).collect()), key=repr) == brute_jaccard(rows)
+
+
 def test_jaccard_edges(spark, edge_docs, no_docs):
     got = sorted((tuple(r) for r in sigtree.jaccard_components(edge_docs).collect()), key=repr)
     expected = brute_jaccard([(r[0], r[1]) for r in EDGE_ROWS])
