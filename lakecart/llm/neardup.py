@@ -7,10 +7,17 @@ hyperplane hashes; nodes are put in lexicographic order of the key by a range pa
 to families.  A window is bounded, a family isn't: its members are then compared with each
 other, block against block, so that a dense group loses no link and nothing is capped.
 Only counts leave these comparisons, never pairs.
+
+The number of passes follows from the number of vectors (``passes_for``), so that a lone
+pair at the threshold is found with the stated chance at any size.  The chance is that of
+hyperplanes and vectors spread out; where all vectors lie in a cone, more of them share
+their leading bits and fewer lone pairs meet.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,6 +31,22 @@ from .graph import connected_components
 BITS = 63
 
 
+def passes_for(nodes: int, window: int, least: float, recall: float) -> int:
+    """Passes in which a pair with cosine ``least`` meets with a chance of ``recall``.
+
+    The pair shares a bit with chance ``1 - acos(least) / pi`` and a window of one pass when it
+    shares about ``log2(nodes / window)`` leading bits: with chance q, so ``1 - (1 - q)^passes``
+    has to reach ``recall``.  The count grows with a power of the nodes (0.22 at 0.9).
+    """
+    bit = 1 - math.acos(max(-1.0, min(least, 1.0))) / math.pi
+    meet = bit ** math.log2(max(1.0, nodes / window))
+    if meet >= 1:
+        return 1
+    if meet <= 0:
+        raise ValueError(f"opposite vectors (least = {least}) share no bits")
+    return math.ceil(math.log(1 - recall) / math.log1p(-meet))
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector can link: no null in it, all finite, not zero."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -115,8 +138,8 @@ def _block_counts(least: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, passes: int = 14, window: int = 24, seed: int = 11,
-                    block: int = 1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, passes: int | None = None, window: int = 24, seed: int = 11,
+                    block: int = 1024, recall: float = 0.99) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (``vec_id,
     embedding``).
 
@@ -124,6 +147,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, passes: int = 14, wi
     vectors included; ``component_id``: smallest ``vec_id`` of the family; ``kept``: the
     row has that id.  Rows whose vector is null, empty, zero or holds a null or non-finite
     component have no links and their own id; vectors of different lengths never link.
+    Without ``passes`` there are as many as ``recall`` needs, and 14 at least.
     """
     # the hash names a vector's value; -0.0 and 0.0 are the same
     rows = vectors.select("vec_id", "embedding").withColumn(
@@ -131,6 +155,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, passes: int = 14, wi
     nodes = materialize(rows.where(F.col("node").isNotNull()).groupBy("node")
                         .agg(F.first("embedding").alias("vector"), F.count("*").alias("copies"),
                              F.min("vec_id").alias("first_id")).withColumn("dim", F.size("vector")), "vectors")
+    if passes is None:
+        passes = max(14, passes_for(nodes.count(), window, least, recall))
     turns = nodes.select("node", "dim", "vector", F.posexplode(hash_keys(F.col("vector"), passes, seed)).alias("turn", "key"))
     ordered = (turns.repartitionByRange("turn", "dim", "key", "node").sortWithinPartitions("turn", "dim", "key", "node")
                .select("turn", "dim", "node", "vector"))

@@ -158,6 +158,22 @@ def test_vectors_brute_force_and_edges(spark):
     assert neardup.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_lone_pairs_at_the_threshold_are_found_at_any_size(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = n // 4
+    off = rng.standard_normal((pairs, 32))
+    off -= (off * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    x[n - pairs:] = 0.905 * x[:pairs] + np.sqrt(1 - 0.905**2) * off
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    # a window of one: as many bits to share as 24 times the vectors have with the usual one
+    got = {r["vec_id"]: r["component_id"] for r in neardup.near_duplicates(df, window=1).collect()}
+    assert np.mean([got[n - pairs + i] == got[i] for i in range(pairs)]) >= 0.97
+
+
 def test_packing_is_whole_and_gapless(spark, edge_docs, no_docs):
     from tokenizers import Tokenizer
 
