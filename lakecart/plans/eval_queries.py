@@ -52,7 +52,10 @@ def d11(spark, sf_dir):
 @register("v11_confusion")
 def v11(spark, sf_dir):
     c = labelled_cases(spark, sf_dir)
-    return evals.confusion(c.where(F.col("kind") == "guardrail"), "expected_blocked", "blocked", [False, True])
+    domain, guardrail = (
+        evals.confusion(c.where(F.col("kind") == kind), expected, actual, [False, True]).select(F.lit(kind).alias("kind"), "*")
+        for kind, expected, actual in (("domain", "expected_in_domain", "in_domain"), ("guardrail", "expected_blocked", "blocked")))
+    return domain.unionByName(guardrail)
 
 
 _RANKED = ("ranked", """SELECT event_type, v, n, rn FROM (

@@ -86,6 +86,15 @@ def test_summary_and_gate(spark):
     assert m == {(False, False): 1, (False, True): 0, (True, False): 1, (True, True): 1}
 
 
+def test_confusion_counts_every_case(spark):
+    from lakecart.plans import eval_queries
+    sf = "/root/testdata/sf0.001"
+    cases = {r["kind"]: r["count"] for r in eval_queries.labelled_cases(spark, sf).groupBy("kind").count().collect()}
+    got = eval_queries.v11(spark, sf).collect()
+    assert {r["kind"] for r in got} == {"domain", "guardrail"} and len(got) == 8
+    assert {k: sum(r["n"] for r in got if r["kind"] == k) for k in cases} == cases
+
+
 def test_contract_rules(spark):
     from lakecart.operators import quality
     prods = spark.createDataFrame([
