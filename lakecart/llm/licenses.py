@@ -1,13 +1,16 @@
 """Licence scan by exact set-similarity join with licence templates (operator 8).
 
-Every line of a text is a block, a set of words.  A template is found in a block when the
+Every line of a text is a block, a set of words, and so is every window of as many words as
+a template has, wherever its lines break.  A template is found in a block when the
 block holds at least ``threshold`` of the template's distinct words.  Template words are
 ordered by their count over the whole corpus, rarest first.  A block that reaches the
 needed overlap ``o = ceil(threshold * |T|)`` holds one of the first ``|T| - o + 1`` words
 (prefix filter), has ``o`` words itself (length filter), and leaves enough words behind
 that first common word on both sides (positional filter); what passes is counted exactly.
 The templates are a fixed table, so documents are never shuffled: one pass counts the
-words, one pass probes.  Phrases of known licences are reported besides.
+words, one pass probes.  Every template found gives its label, unless a better one (more of its
+words, or longer) of the same line, or of an overlapping window, holds all words it found.
+Phrases of known licences are reported besides.
 """
 
 from __future__ import annotations
@@ -72,6 +75,7 @@ class Index:
     rank: np.ndarray  # of each vocabulary entry
     templates: list[tuple[str, np.ndarray, int]]  # label, sorted ranks, needed overlap
     prefix: dict[int, list[tuple[int, int]]]  # rank -> (template, position in it)
+    texts: list[list[int]]  # ranks of each template's words as they follow each other
 
     @classmethod
     def build(cls, counts: dict[int, int], templates: dict[str, str], threshold: float) -> Index:
@@ -87,7 +91,8 @@ class Index:
             rows.append((label, ranks, need))
             for at, r in enumerate(ranks[: len(ranks) - need + 1]):
                 prefix.setdefault(int(r), []).append((k, at))
-        return cls(vocabulary, rank, rows, prefix)
+        texts = [rank[np.searchsorted(vocabulary, words_of(templates[label]))].tolist() for label, _, _ in rows]
+        return cls(vocabulary, rank, rows, prefix, texts)
 
     def probe(self, block: np.ndarray, size: int) -> list[tuple[str, float]]:
         """Labels and containments for a block's sorted distinct ranks (its words outside
@@ -107,6 +112,48 @@ class Index:
         return out
 
 
+    def windows(self, ranks: np.ndarray) -> list[tuple[str, float, int, int, frozenset]]:
+        """Label, containment, first and last place and words found of the best windows of a
+        text, given the rank of each of its words (-1 outside the vocabulary)."""
+        starts: dict[int, list[int]] = {}
+        for at in np.flatnonzero(np.isin(ranks, list(self.prefix))).tolist():
+            for k, _ in self.prefix[int(ranks[at])]:
+                starts.setdefault(k, []).append(at)
+        out = []
+        for k, ats in starts.items():
+            label, own, need = self.templates[k]
+            places = np.flatnonzero(np.isin(ranks, own))
+            best, size, pairs = [], len(self.texts[k]), set(zip(self.texts[k], self.texts[k][1:], strict=False))
+            around = np.zeros(len(ranks) + 1, np.int64)  # windows that hold a prefix word
+            np.add.at(around, np.maximum(np.array(ats) - size + 1, 0), 1)
+            np.add.at(around, np.array(ats) + 1, -1)
+            for first in places[np.cumsum(around)[places] > 0].tolist():
+                i, j = np.searchsorted(places, (first, first + size))
+                if j - i < need:
+                    continue
+                words, new = np.unique(ranks[places[i:j]], return_index=True)
+                if len(words) >= need:
+                    last = int(places[i + new.max()])
+                    inside = ranks[first: last + 1].tolist()
+                    in_order = sum(pair in pairs for pair in zip(inside, inside[1:], strict=False))
+                    best.append((-len(words), -in_order, last - first, first, frozenset(words.tolist())))
+            taken = np.zeros(len(ranks), bool)
+            for n, _, length, first, words in sorted(best, key=lambda x: x[:4]):
+                if not taken[first: first + length + 1].any():
+                    taken[first: first + length + 1] = True
+                    out.append((label, -n / len(own), first, first + length, words))
+        return out
+
+
+def uncovered(hits: list[tuple[str, float, int, int, frozenset]], lengths: dict[str, int]) -> set[str]:
+    """Labels of matches whose words no better match that overlaps them holds."""
+    kept: list = []
+    for hit in sorted(hits, key=lambda x: (x[1], lengths[x[0]], x[0]), reverse=True):
+        if not any(hit[2] <= k[3] and k[2] <= hit[3] and hit[4] <= k[4] and hit[0] != k[0] for k in kept):
+            kept.append(hit)
+    return {k[0] for k in kept}
+
+
 def count_words(docs: DataFrame, templates: dict[str, str]) -> dict[int, int]:
     """How often each template word occurs in all texts (a row for each template word)."""
     vocabulary = np.unique(np.concatenate([words_of(t) for t in templates.values()]))
@@ -141,6 +188,7 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] | No
     def run(texts: pa.Array) -> pa.Array:
         ix = index.value
         lengths = {label: len(ranks) for label, ranks, _ in ix.templates}
+        sets = {label: frozenset(ranks.tolist()) for label, ranks, _ in ix.templates}
         starters = np.array([v for v, r in zip(ix.vocabulary, ix.rank, strict=True) if int(r) in ix.prefix], np.uint64)
         out = {f.name: [] for f in RESULT.fields}
         data, offsets = text_buffer(texts)
@@ -176,14 +224,21 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] | No
                 number = line - int(np.searchsorted(lines, offsets[a + doc]))
                 hits = ix.probe(ranks, len(block))
                 found[doc] += [{"label": label, "line": number, "containment": c} for label, c in hits]
-                if hits:  # a line has the label of its best template, of equal ones the longest
-                    named[doc].add(max(hits, key=lambda x: (x[1], lengths[x[0]], x[0]))[0])
+                inside = frozenset(ranks.tolist())
+                named[doc] |= uncovered([(label, c, 0, 0, inside & sets[label]) for label, c in hits], lengths)
+            spot = np.minimum(np.searchsorted(ix.vocabulary, h), len(ix.vocabulary) - 1)
+            ranks = np.where(ix.vocabulary[spot] == h, ix.rank[spot], -1) if len(ix.vocabulary) else np.full(len(h), -1)
+            widest = np.zeros(n)
+            for doc in {int(owner[i]) for i in near.tolist()}:
+                hits = ix.windows(ranks[words.first[doc]: words.first[doc + 1]])
+                named[doc] |= uncovered(hits, lengths)
+                widest[doc] = max((x[1] for x in hits), default=0.0)
             for k in range(n):
                 places, own = [p for p, _ in base[k]], {label for _, label in base[k]}
                 labels = own | named[k]
                 row = (int(words.counts[k]), len(places), min(places, default=None), max(places, default=None),
                        ",".join(sorted(own)), ",".join(sorted(labels)),
-                       max([float(bool(places)), *(m["containment"] for m in found[k])]), found[k])
+                       max([float(bool(places)), float(widest[k]), *(m["containment"] for m in found[k])]), found[k])
                 for name, value in zip(out, row, strict=True):
                     out[name].append(value)
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), _MATCHES]

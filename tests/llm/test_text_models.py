@@ -152,6 +152,22 @@ def test_licenses_brute_force(spark, sf, edge_docs, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_licenses_name_every_notice_wrapped_or_not(spark):
+    t = licenses.TEMPLATES
+    wrapped = {k: "\n".join(" * " + " ".join(v.split()[i: i + 5]) for i in range(0, len(v.split()), 5)) for k, v in t.items()}
+    rows = [(i, f"intro words {wrapped[k]} \n more words", {k}) for i, k in enumerate(t)]
+    rows += [(100 + i, f"intro words {v} more words", {k}) for i, (k, v) in enumerate(t.items())]
+    rows += [(200, f"{t['mit']} some {t['apache-2.0']} and {t['bsd-3-clause']}", {"mit", "apache-2.0", "bsd-3-clause"}),
+             (201, f"{t['cc-by-sa-4.0']}. {t['cc-by-4.0']}", {"cc-by-sa-4.0", "cc-by-4.0"})]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    for doc_id, _, expected in rows:
+        assert set(filter(None, got[doc_id]["labels"].split(","))) - set(licenses.PHRASES.values()) - {"mit"} == expected - {"mit"}, doc_id
+        assert got[doc_id]["score"] == 1
+        if "mit" in expected:
+            assert "mit" in got[doc_id]["labels"].split(",")
+
+
 def test_elias_fano_finds_what_is_there():
     rng = np.random.default_rng(5)
     for n, bits in ((0, 40), (1, 40), (7, 3), (1000, 40), (5000, 14), (20_000, 63)):
