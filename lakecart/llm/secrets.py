@@ -1,12 +1,13 @@
 """Secret scan with a random forest that removes false positives (operator 2).
 
-A wide pattern finds candidates: runs of 12 or more token characters with a digit.  Each
-candidate has features of its length, character transitions, dictionary coverage, path and
+A wide pattern finds candidates: runs of 12 or more token characters with a digit, and
+whole values, of any characters, assigned to a credential's name.  Each candidate has features of its length, character transitions, dictionary coverage, path and
 neighbouring words.  A forest trained on labelled findings decides.  Where no findings are
 labelled by hand, :func:`provisional_label` labels them by rules of public key formats and
 assignments; the features are not those rules, so the forest also judges what they miss.
 
-The fit is bounded by ``max_findings`` labelled findings (chosen by a hash); candidates are
+The fit is bounded by ``max_findings`` labelled findings (chosen by a hash, half of them for
+either label while it has so many); candidates are
 sought in all texts, whole, and every candidate is scored.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,6 +35,11 @@ _word = re.compile(r"[A-Za-z]+")
 # Words that name a credential.
 CREDENTIAL_WORDS = frozenset("password passwd pwd pass secret token key apikey api auth bearer credential credentials "
                              "access private".split())
+#: A value after an assignment to such a word: what the quotes hold, or all up to white space
+#: but closing marks.  It reads the text before it as provisional_label does.
+_assigned = re.compile(r"(?<![A-Za-z])(?i:" + "|".join(sorted(CREDENTIAL_WORDS, key=len, reverse=True))
+                       + r")\s*[=:]\s*(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\s\"'=:]\S*))")
+
 # Public key formats.
 KEY_FORMATS = re.compile(r"(AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[0-9a-zA-Z]{24}|xox[abp]-[0-9A-Za-z-]{10,}"
                          r"|AIza[0-9A-Za-z_\-]{35}")
@@ -45,9 +52,19 @@ FEATURES = ("length", "digit_share", "upper_share", "class_changes", "entropy",
 
 
 def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
-    """``start, end, value, before, after`` of every candidate (positions in code points)."""
-    return [(m.start(), m.end(), m.group(), text[max(0, m.start() - CONTEXT): m.start()], text[m.end(): m.end() + CONTEXT])
-            for m in _candidate.finditer(text)]
+    """``start, end, value, before, after`` of every candidate (positions in code points).
+    What lies in an assigned value is part of it."""
+    spans = []
+    for m in _assigned.finditer(text):
+        value = m.group(m.lastindex)
+        kept = value.rstrip(",;)]}") or value if m.lastindex == 3 else value
+        spans.append((m.start(m.lastindex), m.start(m.lastindex) + len(kept)))
+    starts = [a for a, _ in spans]
+    for m in _candidate.finditer(text):
+        k = bisect_right(starts, m.start()) - 1
+        if k < 0 or spans[k][1] <= m.start():
+            spans.append(m.span())
+    return [(a, b, text[a:b], text[max(0, a - CONTEXT): a], text[b: b + CONTEXT]) for a, b in sorted(spans)]
 
 
 def provisional_label(value: str, before: str) -> int:
@@ -195,7 +212,11 @@ def fit(found: DataFrame, max_findings: int = 4000, **options) -> Forest:
     label are no examples); equal findings count once."""
     rows = found.where(F.col("label").isNotNull()).select("value", "before", "after", "label").distinct()
     rows = rows.withColumn("u", hash_fraction("value", "before", "after"))
-    taken = rows.orderBy("u", "value", "before", "after", "label").limit(max_findings).collect()
+    order = ("u", "value", "before", "after", "label")
+    ones, others = (rows.where(which).orderBy(*order).limit(max_findings).collect()
+                    for which in (F.col("label") == 1, F.col("label") != 1))
+    n = min(len(ones), max(max_findings // 2, max_findings - len(others)))
+    taken = sorted(ones[:n] + others[: max_findings - n], key=lambda r: [r[c] for c in order])
     return Forest.fit([(r["value"], r["before"], r["after"], r["label"]) for r in taken], **options)
 
 

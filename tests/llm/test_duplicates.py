@@ -260,3 +260,17 @@ def test_secrets_found_and_masked(spark, edge_docs, no_docs):
     assert clean[3]["n_chars"] == len(clean[3]["text"])
     assert secrets.scan(no_docs).count() == 0
     assert secrets.redact_documents(edge_docs).count() == len(EDGE_ROWS)
+
+
+def test_assigned_values_are_whole_candidates():
+    text = "user=bob password = \"S3cr3t!pw#24\" then pwd: hunter!, token='a b$c)' and password=0123456789abcdef01; key=abcDEF123456$x.y end"
+    got = secrets.candidates(text)
+    assert [c[2] for c in got] == ["S3cr3t!pw#24", "hunter!", "a b$c)", "0123456789abcdef01", "abcDEF123456$x.y"]
+    assert all(text[a:b] == value and secrets.provisional_label(value, before) == 1 for a, b, value, before, _ in got)
+
+
+def test_fit_has_rare_secrets(spark):
+    rows = [(f"order2024{i:09d}", f"see {i} ", " x", 0) for i in range(300)] + [(f"{i * 7919:018x}", "password=", " x", 1) for i in range(3)]
+    forest = secrets.fit(spark.createDataFrame(rows, "value string, before string, after string, label int"), max_findings=20)
+    assert any(isinstance(t, tuple) or t > 0 for t in forest.trees)
+    assert forest.score(f"{5 * 7919:018x}", "password=", " x") > forest.score("order2024000000007", "see 7 ", " x")
