@@ -9,8 +9,8 @@ block sends each shard its distinct words and word pairs with their training cou
 pairs are combined before the shuffle, and a frequent context's followers are dealt to
 ``SALTS`` shards).  A shard adds the counts of all blocks up and writes its trie to
 memory-mapped levels: contexts as an Elias-Fano sequence, monotone Elias-Fano pointers to
-their followers, follower ids relative to their context, and quantised logarithms of the
-pairs' shares.  It answers each block's own queries by successor search: a code for each
+their followers, follower ids relative to their context, and 8-bit codes of the pairs'
+counts (smoothing follows in ``_score``).  It answers each block's own queries by successor search: a code for each
 pair, the count of each word.  With these a block scores its texts.  What moves grows with
 the number of distinct pairs in blocks, and no table is held whole anywhere.
 """
