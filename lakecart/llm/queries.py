@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
+from . import divergence, interactions, topk
 from .common import crc_mod, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_top_k_search": topk.SQL, "op12_filter_interactions": interactions.SQL,
+                          "op13_source_divergence": divergence.SQL}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -113,3 +115,21 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm
 
     return lm.score_texts(documents(spark, sf_dir, "doc_id", "text"), crc_mod("doc_id", 7) == 2)
+
+
+@query
+def op11_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every fiftieth embedding."""
+    return topk.top_inner_products(load(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, by language."""
+    return interactions.interactions(documents(spark, sf_dir), load(spark, sf_dir, "labels"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source differs from the other sources and from all of its language."""
+    return divergence.source_divergence(documents(spark, sf_dir))
