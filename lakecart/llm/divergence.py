@@ -1,8 +1,10 @@
 """Source divergence audit with dominance skybands (operator 13).
 
-Terms of every text are counted by (lang, source) in one pass, with the number of documents
-that hold them; a lang keeps the terms found in enough of its documents.  Shares ``p`` are
-integers (parts of a billion, smoothed), and two shares diverge by ``floor((p-q)^2/(p+q))``.
+A lang keeps the terms found in enough of its documents.  Most terms are rare, so a first
+pass counts documents by the hash of a term and marks the hashes that may be kept in a
+bitmap of fixed size; a second pass counts the marked terms by (lang, source), occurrences
+and documents, and the exact document counts decide.  Shares ``p`` are integers (parts of a
+billion, smoothed), and two shares diverge by ``floor((p-q)^2/(p+q))``.
 
 * Pairs of sources: kept terms are dealt to buckets; a task has the counts of one bucket's
   terms for a block of sources and all sources of a lang, sums the divergence of every pair
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .common import materialize
-from .textvec import Words, groups, release, text_buffer
+from .textvec import Words, groups, release, signed, text_buffer
 
 #: Terms are runs of letters a-z (after lower-casing) and non-ASCII characters.
 LETTERS = np.zeros(256, dtype=bool)
@@ -36,7 +38,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 SCALE = 1_000_000_000
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
+#: Bits of a term's hash that the bitmap knows (2^26 bits: 8 MB).
+BITMAP_BITS = 26
 #: (term, source) counts that a task of the pair sums should hold, sources of its left
 #: block, and cells of its dense work array.
 BUCKET_ROWS, SOURCE_BLOCK, CELLS = 200_000, 256, 1 << 20
@@ -55,37 +59,100 @@ def _substrings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Arra
                                             pa.py_buffer(raw.tobytes())).cast(pa.string())
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of every term of a batch by (lang, source)."""
+def _term_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that hold a term, by lang and the term's hash."""
     for batch in batches:
         release()
         data, offsets = text_buffer(batch.column(0))
-        codes = [batch.column(i).dictionary_encode() for i in (1, 2)]
-        lang, source = (c.indices.to_numpy().astype(np.int64) for c in codes)
-        group = lang * len(codes[1].dictionary) + source
-        for a, b in groups(offsets, CHUNK_BYTES):
+        code = batch.column(1).dictionary_encode()
+        lang = code.indices.to_numpy()
+        held = []
+        for n, (a, b) in enumerate(groups(offsets, CHUNK_BYTES), 1):
             words = Words(data, offsets[a: b + 1], LETTERS)
-            if not len(words.hash):
-                continue
-            _, first, term = np.unique(words.hash, return_index=True, return_inverse=True)
-            n_terms = len(first)
-            doc = words.owner()
-            held, n = np.unique(doc * n_terms + term, return_counts=True)
-            of = group[a + held // n_terms] * n_terms + held % n_terms
-            key, place = np.unique(of, return_inverse=True)
-            total = np.bincount(place, weights=n, minlength=len(key)).astype(np.int64)
-            text = _substrings(data, words.start[first], words.end[first])
-            lang_at, source_at = np.divmod(key // n_terms, len(codes[1].dictionary))
-            yield pa.RecordBatch.from_arrays(
-                [codes[0].dictionary.take(pa.array(lang_at)), codes[1].dictionary.take(pa.array(source_at)),
-                 text.take(pa.array(key % n_terms)), pa.array(total), pa.array(np.bincount(place, minlength=len(key)))],
-                ["lang", "source", "term", "n", "docs"])
+            key, term = np.unique(words.hash, return_inverse=True)
+            pair = np.unique(words.owner() * len(key) + term) if len(key) else np.empty(0, np.int64)
+            of = lang[a + pair // max(1, len(key))].astype(np.int64) * len(key) + pair % max(1, len(key))
+            of, docs = np.unique(of, return_counts=True)
+            held.append((of // max(1, len(key)), key[of % max(1, len(key))] if len(key) else key, docs))
+            if n % 8 == 0:
+                held = [_added(held)]
+        if not held:
+            continue
+        at, key, docs = _added(held)
+        yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(at)), pa.array(signed(key)), pa.array(docs)],
+                                         ["lang", "key", "docs"])
+
+
+def _added(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal (lang, key) added up."""
+    lang, key, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((key, lang))
+    lang, key, docs = lang[order], key[order], docs[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (lang[1:] != lang[:-1])
+    at = np.flatnonzero(new)
+    return lang[at], key[at], np.add.reduceat(docs, at) if len(at) else docs
+
+
+def frequent_hashes(rows: DataFrame, least_docs: int) -> np.ndarray:
+    """Bitmap of the hashes (their first ``BITMAP_BITS`` bits) of terms that a lang may keep.
+    It has one size whatever the vocabulary: with more terms it lets more others through."""
+    held = (rows.select("text", "lang").mapInArrow(_term_documents, "lang string, key long, docs long")
+            .groupBy("lang", "key").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs))
+    bit = F.shiftrightunsigned("key", 64 - BITMAP_BITS) + 1  # these functions count from 1
+    chunks = (held.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")))
+    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    for r in chunks.toLocalIterator():  # 4 KB each
+        start = (r["bucket"] - 1) * 4096
+        out[start: start + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def _marked(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which hashes are marked."""
+    bit = (key >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _count(shared):
+    """Occurrences and documents of the marked terms of a batch by (lang, source)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for batch in batches:
+            release()
+            data, offsets = text_buffer(batch.column(0))
+            codes = [batch.column(i).dictionary_encode() for i in (1, 2)]
+            lang, source = (c.indices.to_numpy().astype(np.int64) for c in codes)
+            n_sources = len(codes[1].dictionary)
+            group = lang * n_sources + source
+            for a, b in groups(offsets, CHUNK_BYTES):
+                words = Words(data, offsets[a: b + 1], LETTERS)
+                at = np.flatnonzero(_marked(bitmap, words.hash))
+                if not len(at):
+                    continue
+                _, first, term = np.unique(words.hash[at], return_index=True, return_inverse=True)
+                n_terms, first = len(first), at[first]
+                held, n = np.unique(words.owner()[at] * n_terms + term, return_counts=True)
+                key, place = np.unique(group[a + held // n_terms] * n_terms + held % n_terms, return_inverse=True)
+                total = np.bincount(place, weights=n, minlength=len(key)).astype(np.int64)
+                text = _substrings(data, words.start[first], words.end[first])
+                lang_at, source_at = np.divmod(key // n_terms, n_sources)
+                yield pa.RecordBatch.from_arrays(
+                    [codes[0].dictionary.take(pa.array(lang_at)), codes[1].dictionary.take(pa.array(source_at)),
+                     text.take(pa.array(key % n_terms)), pa.array(total), pa.array(np.bincount(place, minlength=len(key)))],
+                    ["lang", "source", "term", "n", "docs"])
+
+    return run
 
 
 def kept_terms(rows: DataFrame, least_docs: int) -> DataFrame:
     """``lang, source, term, n, lang_n, first``: counts of the terms that a lang keeps;
     ``first`` marks one row of each term.  ``rows``: ``text, lang, source`` without nulls."""
-    counts = (rows.select("text", "lang", "source").mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    shared = rows.sparkSession.sparkContext.broadcast(frequent_hashes(rows, least_docs))  # of fixed size
+    counts = (rows.select("text", "lang", "source")
+              .mapInArrow(_count(shared), "lang string, source string, term string, n long, docs long")
               .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     term = W.Window.partitionBy("lang", "term")
     return (counts.withColumn("lang_n", F.sum("n").over(term)).withColumn("held", F.sum("docs").over(term))
