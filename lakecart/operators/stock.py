@@ -1,15 +1,22 @@
-"""Greedy stock adjustment.
-
-Per product, deltas are applied in log order; a delta that would make the stock negative
-or exceed 2^31-1 is refused and changes nothing.  Because a refused delta does not lower
-the running stock, the result is not a prefix sum: it is a sequential fold.
-
-Plan: the initial stock of every product enters the same stream as a rank-0 pseudo event
-(a union, no join), rows are hash-partitioned by product and sorted by
-``(product, rank, occurred_at, event_id)`` inside each partition, and ``mapInPandas`` walks
-the sorted Arrow batches keeping only the current product's stock.  A product's events
-are never gathered into one group in memory: state is O(1) per task, however hot the
-product.  The sequential rule itself ties one product to one task.
+"""Sequential stock rules: single adjustments (E2), all-or-nothing batches (E3) and
+reservations with their releases (E4, E5).
+
+In log order a delta that would make a stock negative or larger than 2^31-1 is refused and
+changes nothing, so the running stock is no prefix sum.  Plan:
+
+* Lines are range-partitioned by (product, log order).  A product's rows in one partition
+  are a segment; a product with a third of all lines has many segments, in many tasks.
+* A segment is walked from the stock it is assumed to start with.  What a segment applied,
+  added up before each segment of a product, gives the starts of the next round; rounds
+  end when nothing changes.
+* A batch of several products is decided when all its lines fit.  In a round a line moves
+  the stock if it fits where it stands and the batch's other lines did so in the last round.
+
+The result is that of the log in order: whatever is decided depends on earlier operations
+only, so after each round at least one more operation (or segment) has its final
+decision, and a round that changes nothing is consistent from the first on.  Rounds
+follow the longest chain of decisions that turn on each other across products or
+segments, not the length of the log.  Each round is a written table.
 """
 
 from __future__ import annotations
@@ -18,15 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .saga import RELEASED, RESERVED
+from ..session import materialize
+from .saga import RELEASED, RESERVED, log_order
 
 STOCK_LIMIT = 2**31 - 1
-
-OUT_SCHEMA = ("event_id long, product_id long, occurred_at timestamp_ntz, delta long, "
-              "result string, stock_before long, stock_after long")
+MAX_LINES = 20
 
 
 def stock_deltas(events: DataFrame) -> DataFrame:
@@ -37,64 +43,259 @@ def stock_deltas(events: DataFrame) -> DataFrame:
         F.when(s == RESERVED, -F.col("quantity")).otherwise(F.col("quantity")).cast("long").alias("delta"))
 
 
+def _segments(lines: DataFrame, partitions: int | None) -> DataFrame:
+    """``lines`` with the segment (``product_id``, ``run``) of each row."""
+    key = ("product_id", "occurred_at", "event_id")
+    ordered = lines.repartitionByRange(partitions, *key) if partitions else lines.repartitionByRange(*key)
+    return ordered.withColumn("run", F.spark_partition_id())
+
+
+def _walk_order(lines: DataFrame) -> DataFrame:
+    return lines.repartition("run").sortWithinPartitions("run", "product_id", "occurred_at", "event_id")
+
+
+def _starts(moved: DataFrame, applied: Column) -> DataFrame:
+    """``product_id, run, start``: the stock each segment starts with, if ``applied`` lines
+    moved it.  One row per segment."""
+    sums = moved.groupBy("product_id", "run").agg(
+        F.min("stock").alias("stock"), F.coalesce(F.sum(F.when(applied, F.col("delta"))), F.lit(0)).alias("sum"))
+    before = Window.partitionBy("product_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    level = F.col("stock") + F.coalesce(F.sum("sum").over(before), F.lit(0))
+    start = F.when(F.col("stock").isNotNull(), F.least(F.greatest(level, F.lit(0)), F.lit(STOCK_LIMIT)))
+    return sums.select("product_id", "run", start.alias("start"))
+
+
+# --------------------------------------------------------------------------------- E2
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    key = object()
-    stock = None
+    key, stock = None, None
     for pdf in batches:
-        n = len(pdf)
-        result = np.empty(n, dtype=object)
-        before = np.full(n, np.nan)
-        after = np.full(n, np.nan)
-        keep = np.ones(n, dtype=bool)
-        pids = pdf["product_id"].to_numpy()
-        ranks = pdf["rank"].to_numpy()
-        deltas = pdf["delta"].to_numpy(dtype="float64", na_value=np.nan)
-        for i in range(n):
-            if pids[i] != key:
-                key = pids[i]
-                stock = None
-            if ranks[i] == 0:  # initial stock of the product
-                stock = None if np.isnan(deltas[i]) else int(deltas[i])
-                keep[i] = False
-                continue
-            d = deltas[i]
+        products, runs = pdf["product_id"].tolist(), pdf["run"].tolist()
+        starts, deltas = pdf["start"].tolist(), pdf["delta"].tolist()
+        result, before, after = [], [], []
+        for product, run, start, d in zip(products, runs, starts, deltas, strict=True):
+            if (product, run) != key:
+                key, stock = (product, run), None if pd.isna(start) else int(start)
+            old = stock
             if stock is None:
-                result[i] = "product_not_found"
-                continue
-            before[i] = stock
-            if np.isnan(d) or d == 0 or abs(d) > STOCK_LIMIT:
-                result[i] = "invalid_delta"
+                verdict = "product_not_found"
+            elif d == 0 or abs(d) > STOCK_LIMIT:
+                verdict = "invalid_delta"
             elif stock + d < 0:
-                result[i] = "insufficient_stock"
+                verdict = "insufficient_stock"
             elif stock + d > STOCK_LIMIT:
-                result[i] = "stock_limit"
+                verdict = "stock_limit"
             else:
-                stock = stock + int(d)
-                result[i] = "applied"
-            after[i] = stock
-        out = pdf.loc[keep, ["event_id", "product_id", "occurred_at", "delta"]].copy()
-        out["result"] = result[keep]
-        out["stock_before"] = pd.array(before[keep], dtype="Int64") if keep.any() else pd.array([], dtype="Int64")
-        out["stock_after"] = pd.array(after[keep], dtype="Int64") if keep.any() else pd.array([], dtype="Int64")
-        out["delta"] = out["delta"].astype("Int64")
-        yield out
+                verdict, stock = "applied", stock + d
+            result.append(verdict)
+            before.append(old)
+            after.append(stock)
+        yield pdf.drop(columns="start").assign(result=result, stock_before=pd.array(before, dtype="Int64"),
+                                               stock_after=pd.array(after, dtype="Int64"), used=pdf["start"])
+
+
+_E2_STATE = ("event_id long, product_id long, occurred_at timestamp_ntz, delta long, blank boolean, stock long, run int, "
+             "result string, stock_before long, stock_after long, used long")
 
 
 def adjust_stock(products: DataFrame, deltas: DataFrame, partitions: int | None = None) -> DataFrame:
-    """One row per delta with its result and the stock before/after it."""
-    init = products.select(
-        F.lit(None).cast("long").alias("event_id"), F.col("product_id").cast("long").alias("product_id"),
-        F.lit(None).cast("timestamp_ntz").alias("occurred_at"), F.col("stock").cast("long").alias("delta"),
-        F.lit(0).alias("rank"))
-    ev = deltas.select(F.col("event_id").cast("long"), F.col("product_id").cast("long"), "occurred_at",
-                       F.col("delta").cast("long"), F.lit(1).alias("rank"))
-    stream = init.unionByName(ev)
-    stream = stream.repartition(partitions, "product_id") if partitions else stream.repartition("product_id")
-    ordered = stream.sortWithinPartitions("product_id", "rank", "occurred_at", "event_id")
-    return ordered.mapInPandas(_walk, OUT_SCHEMA)
+    """One row per delta with its result and the stock before/after it.
+
+    Only segments whose assumed start was wrong are walked again: those of products that
+    reach over a partition's edge.
+    """
+    stock = products.select(F.col("product_id").cast("long").alias("product_id"), F.col("stock").cast("long").alias("stock"))
+    lines = deltas.select(F.col("event_id").cast("long").alias("event_id"), F.col("product_id").cast("long").alias("product_id"),
+                          "occurred_at", F.coalesce(F.col("delta").cast("long"), F.lit(0)).alias("delta"),
+                          F.col("delta").isNull().alias("blank"))
+    lines = materialize(_segments(lines.join(stock, "product_id", "left"), partitions), "stock-lines")
+    columns = ("event_id", "product_id", "occurred_at", "delta", "blank", "stock", "run")
+    done = lines.select(*columns, F.col("stock").alias("start"))
+    done = materialize(_walk_order(done).mapInPandas(_walk, _E2_STATE), "stock-0")
+    turn = 0
+    while True:
+        used = done.groupBy("product_id", "run").agg(F.min("used").alias("used"))
+        starts = _starts(done, F.col("result") == "applied").join(used, ["product_id", "run"])
+        wrong = materialize(starts.where(F.col("start") != F.col("used")).drop("used"), "stock-starts")
+        if wrong.isEmpty():
+            return done.select("event_id", "product_id", "occurred_at", F.when(~F.col("blank"), F.col("delta")).alias("delta"),
+                               "result", "stock_before", "stock_after")
+        turn += 1
+        again = _walk_order(done.select(*columns).join(wrong, ["product_id", "run"])).mapInPandas(_walk, _E2_STATE)
+        kept = done.join(wrong, ["product_id", "run"], "left_anti")
+        done = materialize(kept.select(again.columns).unionByName(again), f"stock-{turn}")
 
 
 def final_stock(adjusted: DataFrame) -> DataFrame:
     """The stock each product ends with (last decided row in log order)."""
     return (adjusted.where(F.col("stock_after").isNotNull())
             .groupBy("product_id").agg(F.max_by("stock_after", F.struct("occurred_at", "event_id")).alias("stock")))
+
+
+# ------------------------------------------------------------------------------ E3, E4
+def _fits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk segments: does each line fit, given which batches go by their other lines?"""
+    key, stock = None, 0
+    for pdf in batches:
+        out = np.empty(len(pdf), object)
+        rows = zip(*(pdf[c].tolist() for c in ("product_id", "run", "start", "delta", "others")), strict=True)
+        for i, (product, run, start, d, others) in enumerate(rows):
+            if (product, run) != key:
+                key, stock = (product, run), None if pd.isna(start) else int(start)
+            if stock is None:
+                out[i] = "product_not_found"
+            elif stock + d < 0:
+                out[i] = "insufficient_stock"
+            elif stock + d > STOCK_LIMIT:
+                out[i] = "stock_limit"
+            elif others:
+                stock += d
+        yield pdf.drop(columns=["start", "others"]).assign(reason=out)
+
+
+_LINE = ("event_id long, occurred_at timestamp_ntz, operation_id string, kind int, own_at timestamp_ntz, own_id long, "
+         "product_id long, delta long, stock long, run int")
+
+
+def _decide(lines: DataFrame, partitions: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rounds over lines (``event_id, occurred_at, operation_id, kind, own_at, own_id,
+    product_id, delta, stock``) until nothing changes.
+
+    ``kind`` 0 is an operation: it goes unless an earlier delivery of its ``operation_id``
+    was applied.  ``kind`` 1 undoes the operation ``(own_at, own_id)`` at the place of another
+    event in the log: it goes if that operation was applied.  Returns the lines with their ``reason`` (NULL: fits), and per
+    ``operation_id`` the ``first`` applied delivery.
+    """
+    base = materialize(_segments(lines, partitions), "batch-lines")
+    state = base.withColumn("reason", F.lit(None).cast("string")).withColumn("bad", F.lit(0).cast("bigint")) \
+        .withColumn("blocked", F.col("kind") == 1)
+    turn, seen = 0, None
+    while True:
+        applied = (F.col("bad") == 0) & ~F.col("blocked")
+        alone = F.col("bad") - F.col("reason").isNotNull().cast("bigint") == 0
+        start = _starts(state, applied)
+        step = (state.withColumn("others", alone & ~F.col("blocked")).join(start, ["product_id", "run"])
+                .select(*base.columns, "start", "others"))
+        walked = materialize(_walk_order(step).mapInPandas(_fits, _LINE + ", reason string"), f"batch-walk-{turn}")
+        verdicts = walked.groupBy("own_id", "kind", "operation_id", "occurred_at", "event_id").agg(F.count("reason").alias("bad"))
+        first = (verdicts.where((F.col("bad") == 0) & (F.col("kind") == 0)).groupBy("operation_id")
+                 .agg(F.min(log_order()).alias("first")))
+        own = F.struct(F.col("own_at").alias("occurred_at"), F.col("own_id").alias("event_id"))
+        blocked = F.when(F.col("kind") == 0, F.coalesce(F.col("first") < log_order(), F.lit(False))) \
+            .otherwise(~F.coalesce(F.col("first") == own, F.lit(False)))
+        state = materialize(walked.join(verdicts.select("own_id", "kind", "bad"), ["own_id", "kind"])
+                            .join(first, "operation_id", "left").withColumn("blocked", blocked).drop("first"), f"batch-{turn}")
+        # a digest of all decisions: rounds end when it stays
+        digest = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("own_id", "kind", "product_id", "reason", "blocked")
+                                                     .cast("decimal(38,0)"))).first())
+        if digest == seen:
+            return state, first
+        turn, seen = turn + 1, digest
+
+
+def _checked(ops: DataFrame) -> DataFrame:
+    """Operations with ``valid``: 1 to 20 lines, no product twice, deltas between -2^31+1
+    and 2^31-1 and not 0, an id of 1 to 100 characters.  Lines in order of product."""
+    lines = F.col("lines")
+    ids = F.transform(lines, lambda x: x["product_id"])
+    ok = (F.length("operation_id").between(1, 100) & F.size(lines).between(1, MAX_LINES)
+          & (F.size(F.array_distinct(ids)) == F.size(ids))
+          & F.forall(lines, lambda x: x["product_id"].isNotNull() & x["delta"].between(-STOCK_LIMIT, STOCK_LIMIT) & (x["delta"] != 0)))
+    return ops.withColumn("valid", F.coalesce(ok, F.lit(False))).withColumn("lines", F.array_sort("lines"))
+
+
+def _with_stock(ops: DataFrame, products: DataFrame) -> DataFrame:
+    """One row per line of the valid operations, with its product's stock."""
+    stock = products.select(F.col("product_id").cast("long").alias("product_id"), F.col("stock").cast("long").alias("stock"))
+    line = ops.where("valid").select("event_id", "occurred_at", "operation_id", "kind", "own_at", "own_id", F.explode("lines").alias("l"))
+    return (line.select("event_id", "occurred_at", "operation_id", "kind", "own_at", "own_id",
+                        F.col("l.product_id").cast("long").alias("product_id"), F.col("l.delta").cast("long").alias("delta"))
+            .join(stock, "product_id", "left"))
+
+
+def _reasons(lines: DataFrame) -> DataFrame:
+    """Per operation the reason of its first failing line in order of product."""
+    bad = F.when(F.col("reason").isNotNull(), F.struct("product_id", "reason"))
+    return lines.where("kind = 0").groupBy("event_id").agg(F.min(bad).alias("r")).select("event_id", F.col("r.reason").alias("refused"))
+
+
+def adjust_stock_batches(products: DataFrame, ops: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``event_id, operation_id, occurred_at, result`` for every delivery in ``ops``
+    (``event_id, occurred_at, operation_id, lines`` of ``product_id, delta``).
+
+    ``applied``: all lines fit, all were applied.  ``product_not_found``,
+    ``insufficient_stock``, ``stock_limit``: the first failing line in order of product;
+    nothing was applied and the id is not remembered.  ``already_applied``: an earlier
+    delivery of the id with the same lines was applied; ``changed_operation``: with other
+    lines.  ``invalid_operation``: outside the contract.  ``event_id`` is unique.
+    """
+    ops = materialize(_checked(ops.select("event_id", "occurred_at", "operation_id", "lines")), "batches")
+    one = ops.withColumn("kind", F.lit(0)).withColumn("own_at", F.col("occurred_at")).withColumn("own_id", F.col("event_id"))
+    lines, first = _decide(_with_stock(one, products), partitions)
+    known = first.join(ops.select(F.col("event_id").alias("first_id"), F.col("lines").alias("first_lines")),
+                       F.col("first.event_id") == F.col("first_id"))
+    later = F.coalesce(F.col("first") < log_order(), F.lit(False))
+    result = (F.when(~F.col("valid"), "invalid_operation")
+              .when(later & F.col("lines").eqNullSafe(F.col("first_lines")), "already_applied")
+              .when(later, "changed_operation").otherwise(F.coalesce("refused", F.lit("applied"))))
+    return (ops.join(_reasons(lines), "event_id", "left").join(known.drop("first_id"), "operation_id", "left")
+            .select("event_id", "operation_id", "occurred_at", result.alias("result")))
+
+
+def stock_after_batches(products: DataFrame, ops: DataFrame, decided: DataFrame) -> DataFrame:
+    """The stock each product ends with: its own and what applied batches moved."""
+    moved = (ops.join(decided.where(F.col("result") == "applied").select("event_id"), "event_id")
+             .select(F.explode("lines").alias("l")).groupBy(F.col("l.product_id").alias("product_id"))
+             .agg(F.sum("l.delta").alias("moved")))
+    return products.select("product_id", "stock").join(moved, "product_id", "left").select(
+        "product_id", (F.col("stock") + F.coalesce("moved", F.lit(0))).cast("bigint").alias("stock"))
+
+
+def reserve(placed: DataFrame, failed: DataFrame, products: DataFrame, partitions: int | None = None) -> DataFrame:
+    """E4 with the releases of E5: ``event_id, order_id, occurred_at, outcome, reason`` for
+    every placement in ``placed`` (``event_id, occurred_at, order_id, product_id, quantity,
+    items`` of ``product_id, quantity``; ``items`` NULL: a single product).
+
+    ``reserved``: the stock was taken, or an earlier placement of the order with the same
+    contents took it; ``rejected`` with ``invalid_quantity`` or a stock reason (not
+    remembered: a later placement is tried afresh); ``ignored`` (``reservation_released``): the
+    order's reservation was given back before; ``error`` (``changed_order``): it has other
+    contents, (``invalid_items``): a cart outside the contract.  ``failed`` (``event_id,
+    occurred_at, order_id``): the first payment failure after the reservation gives its
+    stock back.  Event ids are unique over both tables.
+    """
+    lines = F.coalesce(F.transform("items", lambda x: F.struct(x["product_id"].cast("long").alias("product_id"),
+                                                               (-x["quantity"]).cast("long").alias("delta"))),
+                       F.array(F.struct(F.col("product_id").cast("long").alias("product_id"), (-F.col("quantity")).cast("long").alias("delta"))))
+    order = placed.select("event_id", "occurred_at", F.col("order_id").cast("string").alias("order_id"), "product_id", "quantity", "items",
+                          F.concat(F.lit("order:"), F.col("order_id").cast("string"), F.lit(":reserve")).alias("operation_id"),
+                          lines.alias("lines"))
+    # the failure that would release this placement: the first one after it, by a merged pass
+    # over both logs, last to first
+    log = order.select("event_id", "occurred_at", "order_id", F.lit(0).alias("fails")).unionByName(
+        failed.select("event_id", "occurred_at", F.col("order_id").cast("string").alias("order_id"), F.lit(1).alias("fails")))
+    after = Window.partitionBy("order_id").orderBy("occurred_at", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    release = F.first(F.when(F.col("fails") == 1, log_order()), ignorenulls=True).over(after)
+    released = log.withColumn("release", release).where("fails = 0").select("event_id", "release")
+    ops = _checked(order).join(released, "event_id")
+    positive = F.coalesce(F.col("quantity") > 0, F.lit(False))
+    fits_contract = F.col("items").isNull() | F.forall("items", lambda x: x["quantity"] > 0)
+    ops = materialize(ops.withColumn("valid", F.col("valid") & positive & F.coalesce(fits_contract, F.lit(False))), "placements")
+    take = ops.withColumn("kind", F.lit(0)).withColumn("own_at", F.col("occurred_at")).withColumn("own_id", F.col("event_id"))
+    give = (ops.where(F.col("release").isNotNull()).withColumn("kind", F.lit(1))
+            .withColumn("own_at", F.col("occurred_at")).withColumn("own_id", F.col("event_id"))
+            .withColumn("occurred_at", F.col("release.occurred_at")).withColumn("event_id", F.col("release.event_id"))
+            .withColumn("lines", F.transform("lines", lambda x: F.struct(x["product_id"].alias("product_id"), (-x["delta"]).alias("delta")))))
+    columns = ("event_id", "occurred_at", "operation_id", "kind", "own_at", "own_id", "lines", "valid")
+    decided, first = _decide(_with_stock(take.select(*columns).unionByName(give.select(*columns)), products), partitions)
+    contents = F.struct("product_id", "quantity", "items")
+    known = first.join(ops.select(F.col("event_id").alias("first_id"), contents.alias("held"), F.col("release").alias("given")),
+                       F.col("first.event_id") == F.col("first_id")).drop("first_id")
+    later = F.coalesce(F.col("first") < log_order(), F.lit(False))
+    gone = F.coalesce(F.col("given") < log_order(), F.lit(False))
+    outcome = (F.when(~positive, "rejected").when(later & ~contents.eqNullSafe(F.col("held")), "error").when(later & gone, "ignored")
+               .when(later, "reserved").when(~F.col("valid"), "error").when(F.col("refused").isNotNull(), "rejected").otherwise("reserved"))
+    reason = (F.when(~positive, "invalid_quantity").when(later & ~contents.eqNullSafe(F.col("held")), "changed_order")
+              .when(later & gone, "reservation_released").when(later, F.lit(None)).when(~F.col("valid"), "invalid_items")
+              .otherwise(F.col("refused")))
+    return (ops.join(_reasons(decided), "event_id", "left").join(known, "operation_id", "left")
+            .select("event_id", "order_id", "occurred_at", outcome.alias("outcome"), reason.alias("reason")))
