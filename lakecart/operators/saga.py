@@ -116,19 +116,35 @@ def checkout_rows(events: DataFrame) -> DataFrame:
     return events.where((F.col("subject") == RESERVED) & (F.col("quantity") > 0)).select("order_key").distinct()
 
 
-def _due(status: DataFrame, now) -> DataFrame:
-    return status.where(F.col("status") == "pending").select(
-        "order_key", expires_at(F.col("placed_at")).alias("expires_at")
-    ).where(F.col("expires_at") <= F.lit(now).cast("timestamp_ntz"))
+def deadlines(orders: DataFrame, checkouts: DataFrame | None = None, ttl_minutes: int = ORDER_TTL_MINUTES) -> DataFrame:
+    """``orders`` (``order_key, placed_at, status``) with ``expires_at``.  A stored
+    ``expires_at`` stays; a pending order without one gets its creation plus the TTL (the
+    back-fill), other orders keep NULL.  Opened checkouts (``order_key,
+    checkout_expires_at``) extend it to the last of them plus the grace."""
+    if ttl_minutes <= 0:
+        raise ValueError("ttl must be positive")
+    filled = F.when(F.col("status") == "pending", F.col("placed_at") + F.make_dt_interval(mins=F.lit(ttl_minutes)))
+    base = F.coalesce(F.col("expires_at"), filled) if "expires_at" in orders.columns else filled
+    others = [c for c in orders.columns if c != "expires_at"]
+    if checkouts is None:
+        return orders.select(*others, base.alias("expires_at"))
+    last = checkouts.groupBy("order_key").agg(F.max("checkout_expires_at").alias("_c"))
+    later = F.greatest(base, F.col("_c") + F.make_dt_interval(secs=F.lit(CHECKOUT_GRACE_SECONDS)))
+    return orders.join(last, "order_key", "left").select(*others, F.when(base.isNotNull(), later).alias("expires_at"))
+
+
+def _due(status: DataFrame, now, checkouts: DataFrame | None = None) -> DataFrame:
+    pending = deadlines(status.where(F.col("status") == "pending"), checkouts)
+    return pending.select("order_key", "expires_at").where(F.col("expires_at") <= F.lit(now).cast("timestamp_ntz"))
 
 
-def expire_orders(status: DataFrame, events: DataFrame, now) -> DataFrame:
-    """Pending orders past their expiry with no succeeded payment (anti join, J6)
+def expire_orders(status: DataFrame, events: DataFrame, now, checkouts: DataFrame | None = None) -> DataFrame:
+    """Pending orders past their deadline (E6) with no succeeded payment (anti join, J6)
     become ``expired`` with reason ``order_expired``; those with a checkout row also get a
     close event id, others NULL."""
     paid = events.where(F.col("subject") == SUCCEEDED).select("order_key")
     rows = checkout_rows(events).withColumn("has_checkout", F.lit(True))
-    return _due(status, now).join(paid, "order_key", "left_anti").join(rows, "order_key", "left").select(
+    return _due(status, now, checkouts).join(paid, "order_key", "left_anti").join(rows, "order_key", "left").select(
         "order_key", "expires_at", F.lit("expired").alias("status"), F.lit("order_expired").alias("rejection_reason"),
         F.when(F.col("has_checkout"), F.concat(F.lit("order-expire:"), F.col("order_key").cast("string")))
         .alias("close_event_id"))

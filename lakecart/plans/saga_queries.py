@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import saga, stock
 from ..registry import register
 from .views import Views, sql_ctes
@@ -40,6 +42,22 @@ def e1(spark, sf_dir):
     return _status(spark, sf_dir)[1]
 
 
+@register("e6_deadlines", sql_ctes("""SELECT o.order_id, o.status, CASE WHEN o.base IS NOT NULL THEN greatest(o.base, c.last + INTERVAL 120 SECOND) END AS expires_at
+FROM (SELECT order_id, status, CASE WHEN order_id % 3 <> 0 THEN order_date + INTERVAL 20 MINUTE
+    WHEN status = 'pending' THEN order_date + INTERVAL 15 MINUTE END AS base FROM v_orders) o
+LEFT JOIN (SELECT order_id, max(created_at + (payment_id % 40) * INTERVAL 1 MINUTE) AS last FROM v_payments WHERE amount > 100000 GROUP BY order_id) c
+  ON c.order_id = o.order_id""", ["v_orders", "v_payments"]))
+def e6(spark, sf_dir):
+    """Every third order has no stored expiry; larger payments have an opened checkout."""
+    v = Views(spark, sf_dir)
+    k = F.col("order_id")
+    orders = v.v_orders.select(k.alias("order_key"), F.col("order_date").alias("placed_at"), "status",
+                               F.when(k % 3 != 0, F.col("order_date") + F.make_dt_interval(mins=F.lit(20))).alias("expires_at"))
+    checkouts = v.v_payments.where("amount > 100000").select(
+        k.alias("order_key"), (F.col("created_at") + F.make_dt_interval(mins=(F.col("payment_id") % 40).cast("int"))).alias("checkout_expires_at"))
+    return saga.deadlines(orders, checkouts).select(F.col("order_key").alias("order_id"), "status", "expires_at")
+
+
 @register("e7_expire_orders", sql_ctes(f"""SELECT order_key, expires_at, 'expired' AS status,
   'order_expired' AS rejection_reason, CASE WHEN EXISTS (SELECT 1 FROM v_saga r WHERE r.subject = 'inventory.reserved'
     AND r.quantity > 0 AND r.order_key = d.order_key) THEN 'order-expire:' || CAST(order_key AS VARCHAR) END AS close_event_id
