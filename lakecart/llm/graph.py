@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,15 +29,16 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
 
     Alternates large-star and small-star steps (a number of rounds that grows with the
     logarithm of the number of nodes); each round is a written table, so an executor that
-    is lost costs one round at most.  A hub's edges meet in an equi-join that AQE can
-    split and in map-side combined minima.  Edges with a null end and loops are dropped;
-    an empty edge table gives an empty result.
+    is lost costs one round at most, and a round's table goes when the next one is written.
+    A hub's edges meet in an equi-join that AQE can split and in map-side combined minima.
+    Edges with a null end and loops are dropped; an empty edge table gives an empty result.
     """
     now = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
                       .where("a <> b").distinct(), f"{name}-0")
     seen = None
     for turn in range(1, max_rounds + 1):
-        now = materialize(_small_star(_large_star(now)), f"{name}-{turn}")
+        before, now = now, materialize(_small_star(_large_star(now)), f"{name}-{turn}")
+        discard(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break

@@ -19,7 +19,6 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .common import materialize
-from .textvec import groups, release, text_buffer
+from .textvec import groups, kept, release, text_buffer
 
 CACHE_SIZE = 150_000
 PIECE = T.ArrayType(T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -122,10 +121,9 @@ class WordTokenizer:
         return out
 
 
-@cache
 def tokenizer(path: str) -> WordTokenizer:
-    """The worker's tokenizer for a file (built once per worker process)."""
-    return WordTokenizer(path)
+    """The worker's tokenizer for a file (kept while the worker tokenizes)."""
+    return kept(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def pieces_of(text: Column, path: str, end_id: int, capacity: int, with_ids: bool) -> Column:
@@ -143,7 +141,7 @@ def pieces_of(text: Column, path: str, end_id: int, capacity: int, with_ids: boo
                 cut = [ids[k: k + size] for k in range(0, len(ids), size)]
                 rows.append([{"piece": k, "start": k * capacity, "length": len(x) // 4, "ids_crc32": zlib.crc32(x),
                               "ids": x if with_ids else None} for k, x in enumerate(cut)])
-        release()
+        release(keep=True)
         return pa.array(rows, pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                                                   ("ids_crc32", pa.int64()), ("ids", pa.binary())])))
 

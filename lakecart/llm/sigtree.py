@@ -32,8 +32,9 @@ from .graph import connected_components
 from .textvec import SPACE_WORDS, Words, groups, mix, release, shingle_set, signed, text_buffer
 
 #: Text bytes that one shard should account for.
-SHARD_BYTES = 24 << 20
-BLOCK_BYTES = 2 << 20
+SHARD_BYTES = 16 << 20
+#: Text bytes of a block that sends one message to a shard, and of a work array.
+BLOCK_BYTES, WORK_BYTES = 2 << 20, 256 << 10
 LOW_BITS = 40
 WIDTH = 1024
 FANOUT = 4
@@ -46,14 +47,15 @@ def _sets(texts: pa.Array, n: int, block_bytes: int):
     """For blocks of texts: first text, node of each text (0 without words), and sets."""
     data, offsets = text_buffer(texts)
     for a, b in groups(offsets, block_bytes):
-        words = Words(data, offsets[a: b + 1], SPACE_WORDS)
         nodes, sets = np.zeros(b - a, np.uint64), []
-        for i in range(b - a):
-            w = words.hash[words.first[i]: words.first[i + 1]]
-            sets.append(shingle_set(w, n))
-            if len(w):
-                place = np.arange(1, len(w) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                nodes[i] = mix(np.array([mix(w ^ mix(place)).sum()], np.uint64) + np.uint64(len(w)))[0] | np.uint64(1)
+        for c, d in groups(offsets[a: b + 1], WORK_BYTES):
+            words = Words(data, offsets[a + c: a + d + 1], SPACE_WORDS)
+            for i in range(d - c):
+                w = words.hash[words.first[i]: words.first[i + 1]]
+                sets.append(shingle_set(w, n))
+                if len(w):
+                    place = np.arange(1, len(w) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    nodes[c + i] = mix(np.array([mix(w ^ mix(place)).sum()], np.uint64) + np.uint64(len(w)))[0] | np.uint64(1)
         yield a, nodes, sets
 
 
@@ -97,24 +99,26 @@ def _send(n: int, shards: int):
                         continue
                     key = np.concatenate(parts)
                     place = np.repeat(np.arange(len(some), dtype=np.uint16), [len(p) for p in parts])
+                    del parts
                     order = np.argsort(key, kind="stable")
                     key, place = key[order], place[order]
-                    of = (key >> np.uint64(LOW_BITS)).astype(np.int64)
-                    cut = np.searchsorted(of, np.arange(shards + 1))
-                    high = ((key >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    low = (key & np.uint64(0xFF)).astype(np.uint8)
-                    rows = [s for s in range(shards) if cut[s] < cut[s + 1]]
-                    for r in range(0, len(rows), 64):
-                        take = rows[r: r + 64]
-                        spans = [slice(cut[s], cut[s + 1]) for s in take]
+                    del order
+                    of = (key >> np.uint64(LOW_BITS)).astype(np.uint32)
+                    cut = np.append(np.flatnonzero(np.diff(of, prepend=of[0] + np.uint32(1))), len(of))
+                    for r in range(0, len(cut) - 1, 16):  # shards that get a message
+                        spans = [slice(x, y) for x, y in zip(cut[r: r + 16], cut[r + 1: r + 17], strict=False)]
                         used = [np.unique(place[x]) for x in spans]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(take, pa.int32()), pa.array([high[x].tobytes() for x in spans], pa.binary()),
-                             pa.array([low[x].tobytes() for x in spans], pa.binary()),
+                            [pa.array([int(of[x.start]) for x in spans], pa.int32()),
+                             pa.array([((key[x] >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+                                       for x in spans], pa.binary()),
+                             pa.array([(key[x] & np.uint64(0xFF)).astype(np.uint8).tobytes() for x in spans], pa.binary()),
                              pa.array([np.searchsorted(u, place[x]).astype(np.uint16).tobytes()
                                        for u, x in zip(used, spans, strict=True)], pa.binary()),
                              pa.array([nodes[some[u]].tobytes() for u in used], pa.binary())],
                             ["shard", "high", "low", "place", "nodes"])
+                nodes = sets = None
+                release()
 
     return run
 
@@ -130,7 +134,12 @@ def _shared(table: pa.Table) -> pa.Table:
         key |= np.frombuffer(low.as_buffer(), np.uint8)
         return key
 
-    often = np.concatenate([whole(h, lo) for h, lo in zip(*columns[:2], strict=True)])
+    often = np.empty(sum(len(lo.as_buffer()) for lo in columns[1]), np.uint64)
+    at = 0
+    for h, lo in zip(*columns[:2], strict=True):
+        part = whole(h, lo)
+        often[at: at + len(part)] = part
+        at += len(part)
     often.sort()
     often = np.unique(often[1:][often[1:] == often[:-1]])  # only their holders are ever unpacked
     key, node = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
@@ -150,10 +159,45 @@ def _shared(table: pa.Table) -> pa.Table:
     count = count[place]
     keep = count > 1
     full = key[keep] | np.uint64(shard) << np.uint64(LOW_BITS)
+    del often, place, new, order
+    release()
     return pa.table({"key": pa.array(signed(full)), "node": pa.array(signed(node[keep])),
                      "holders": pa.array(count[keep].astype(np.int64))})
 
 
+def _chain(num: int, den: int):
+    """Edges between neighbours of the same key in order of size, where their sizes allow a
+    link; and a partition's first and last row, which are joined to the next partition's."""
+
+    def edges(key, n, node):
+        near = np.flatnonzero((key[1:] == key[:-1]) & (n[:-1] * den >= n[1:] * num) & (node[1:] != node[:-1]))
+        return node[near], node[near + 1]
+
+    def rows(a, b, key=None, n=None):
+        size = len(a)
+        blank = pa.nulls(size, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), blank if b is None else pa.array(b), blank if key is None else pa.array(key),
+                                           blank if n is None else pa.array(n)], ["a", "b", "key", "n"])
+
+    def run(batches):
+        first = last = None
+        for batch in batches:
+            key, n, node = (batch.column(c).to_numpy() for c in ("key", "n", "node"))
+            if not len(key):
+                continue
+            if last is not None:
+                key, n, node = (np.concatenate([x, y]) for x, y in zip(last, (key, n, node), strict=True))
+            else:
+                first = key[:1], n[:1], node[:1]
+            yield rows(*edges(key, n, node))
+            last = key[-1:], n[-1:], node[-1:]
+        if last is not None:
+            for key, n, node in (first, last):
+                yield rows(node, None, key, n)
+
+    return run
+
+
 class SignatureTree:
     """Levels of OR-combined bitmaps with ranges of set sizes; level 0 has the sets."""
 
@@ -292,21 +336,30 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 75, den: in
                         .where(F.col("first") > 0)
                         .select("node", "n", F.col("keys.key").alias("keys"), "first"), "shared-keys")
     ranked = open_.select("node", "n", F.explode(F.slice("keys", 1, F.col("first"))).alias("key"))
-    by_key = W.Window.partitionBy("key").orderBy("n", "node")
-    edges = (ranked.withColumn("a", F.lag("node").over(by_key)).withColumn("m", F.lag("n").over(by_key))
-             .where(F.col("a").isNotNull() & (F.col("m") * den >= F.col("n") * num))
-             .select("a", F.col("node").alias("b")))
+    # a range partitioning cuts the holders of a hot key into pieces, which are chained inside
+    # and, by the first and last row of each partition, across
+    ordered = ranked.repartitionByRange("key", "n", "node").sortWithinPartitions("key", "n", "node")
+    chained = materialize(ordered.select("key", "n", "node").mapInArrow(_chain(num, den), "a long, b long, key long, n long"),
+                          "chains")
+    by_key = W.Window.partitionBy("key").orderBy("n", "a")
+    across = (chained.where(F.col("b").isNull()).withColumn("before", F.lag("a").over(by_key))
+              .withColumn("m", F.lag("n").over(by_key)).where(F.col("m") * den >= F.col("n") * num)
+              .select(F.col("before").alias("a"), F.col("a").alias("b")))
+    edges = chained.where(F.col("b").isNotNull()).select("a", "b").unionByName(across)
     family = connected_components(edges, "families")
 
-    member = (family.join(open_.select("node", "n"), "node")
-              .withColumn("block", F.floor((F.row_number().over(W.Window.partitionBy("component").orderBy("n", "node")) - 1)
-                                           / leaf_block)))
+    # members are numbered within the pieces of a range partitioning, so that a large family is
+    # not one task's; blocks need no common numbering, only their ranges of sizes
+    placed = materialize(family.join(open_.select("node", "n"), "node").repartitionByRange("component", "n", "node")
+                         .select("node", "component", "n", F.spark_partition_id().cast("long").alias("run")), "placed")
+    within = F.row_number().over(W.Window.partitionBy("component", "run").orderBy("n", "node")) - 1
+    member = placed.withColumn("block", F.col("run") * (1 << 32) + F.floor(within / leaf_block)).drop("run")
     member = materialize(open_.select("node", "keys").join(member, "node"), "family-members")
     spans = member.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = spans.select(F.col("component").alias("c2"), F.col("block").alias("b2"), F.col("low").alias("low2"),
                          F.col("high").alias("high2"))
     pairs = (spans.join(other, (F.col("component") == F.col("c2")) & (F.col("block") <= F.col("b2")))
-             .where(F.col("high") * den >= F.col("low2") * num)
+             .where((F.col("high") * den >= F.col("low2") * num) & (F.col("high2") * den >= F.col("low") * num))
              .select(F.col("component").alias("c"), F.col("block").alias("b1"), "b2"))
     sides = pairs.select("c", "b1", "b2", F.explode(F.when(F.col("b1") == F.col("b2"), F.array(F.lit(0)))
                                                     .otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))

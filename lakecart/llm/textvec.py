@@ -66,8 +66,24 @@ def text_buffer(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), off
 
 
-def release() -> None:
-    """Give freed memory back to the system: workers live on between tasks and stages."""
+_kept: dict = {}
+
+
+def kept(key: tuple, build):
+    """An object that a worker keeps for the batches to come (a tokenizer, say), one at a
+    time: another key, or another operator's :func:`release`, lets it go."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def release(keep: bool = False) -> None:
+    """Give memory back to the system: workers live on between tasks, stages and jobs.
+    Without ``keep`` what an operator kept goes too."""
+    if not keep:
+        _kept.clear()
+    _powers.update(fwd=np.ones(1, np.uint64), inv=np.ones(1, np.uint64))
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
     if trim:
