@@ -154,10 +154,10 @@ def items_count(items, quantity=None) -> Column:
     return F.coalesce(F.nullif(s, F.lit(0)), q, F.lit(0).cast("long"))
 
 
-def same_items(a, b) -> Column:
+def same_items(a, b, product: str = "productId") -> Column:
     """A3: multiset equality on (productId, quantity), order ignored."""
     def norm(x):
-        return F.array_sort(F.transform(_c(x), lambda i: F.struct(i["productId"].alias("p"), i["quantity"].alias("q"))))
+        return F.array_sort(F.transform(_c(x), lambda i: F.struct(i[product].alias("p"), i["quantity"].alias("q"))))
     return norm(a) == norm(b)
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .catalog import same_items
+
 MIN_CENTS, MAX_CENTS = 200, 99_999_999
 DONE = ("succeeded", "failed")
 CLOSED = ("cancelled", "expired")
@@ -98,25 +100,27 @@ def cancel_orders(requests: DataFrame, orders: DataFrame, checkouts: DataFrame)
 
 def create_orders(requests: DataFrame, prices: DataFrame) -> DataFrame:
     """Requests (``request_id, order_id, buyer, items`` array of struct(product_id,
-    quantity)) decided by key ``order_id``: the first request creates the order, a later one
-    with the same buyer and the same lines in any order gets it (``existing``), any other is
-    a ``conflict``.  A line without a ready price (``product_id, unit_amount``) gives
-    ``price_unavailable``, a total over the maximum ``amount_invalid``."""
-    lines = F.array_sort(F.transform("items", lambda i: F.struct(i["product_id"].alias("p"), i["quantity"].alias("q"))))
-    by_key = Window.partitionBy("order_id").orderBy("request_id")
-    x = requests.select("request_id", "order_id", "buyer", lines.alias("lines")).withColumn("turn", F.row_number().over(by_key))
-    first = F.first(F.struct("buyer", "lines")).over(by_key)
-    x = x.withColumn("same", F.struct("buyer", "lines").eqNullSafe(first))
-    priced = (x.where("turn = 1").select("request_id", F.explode("lines").alias("l"))
-              .select("request_id", F.col("l.p").alias("product_id"), F.col("l.q").alias("q")).join(prices, "product_id", "left")
+    quantity)) decided by key ``order_id``, in order of ``request_id``.
+
+    The first request that can be created creates the order; a later one with the same buyer
+    and the same lines in any order (A3) gets it (``existing``), any other is a ``conflict``.  A
+    request that comes while there is no order is judged by itself: a line without a ready
+    price (``product_id, unit_amount``) gives ``price_unavailable``, a total over the maximum
+    ``amount_invalid``, and nothing is remembered of it.
+    """
+    priced = (requests.select("request_id", F.explode_outer("items").alias("l"))
+              .select("request_id", F.col("l.product_id").alias("product_id"), F.col("l.quantity").alias("q")).join(prices, "product_id", "left")
               .groupBy("request_id").agg(F.count_if(F.col("unit_amount").isNull()).alias("missing"),
                                          F.sum(F.col("unit_amount") * F.col("q")).cast("bigint").alias("total")))
-    out = x.join(priced, "request_id", "left")
-    decision = (F.when(F.col("turn") > 1, F.when(F.col("same"), "existing").otherwise("conflict"))
-                .when(F.coalesce("missing", F.lit(1)) > 0, "price_unavailable")
-                .when(F.col("total") > MAX_CENTS, "amount_invalid").otherwise("created"))
-    return out.withColumn("decision", decision).select(
-        "request_id", "order_id", "decision", F.when(F.col("decision") == "created", F.col("total")).alias("total"))
+    own = F.when(F.col("missing") > 0, "price_unavailable").when(F.col("total") > MAX_CENTS, "amount_invalid").otherwise("created")
+    x = requests.join(priced, "request_id").withColumn("own", own)
+    order = (x.where("own = 'created'").groupBy("order_id")
+             .agg(F.min_by(F.struct("request_id", "buyer", "items"), "request_id").alias("o")))
+    x = x.join(order, "order_id", "left")
+    later = F.coalesce(F.col("request_id") > F.col("o.request_id"), F.lit(False))
+    same = F.col("buyer").eqNullSafe(F.col("o.buyer")) & same_items("items", "o.items", "product_id")
+    decision = F.when(later, F.when(same, "existing").otherwise("conflict")).otherwise(F.col("own"))
+    return x.select("request_id", "order_id", decision.alias("decision"), F.when(decision == "created", F.col("total")).alias("total"))
 
 
 def republish_pending(orders: DataFrame, checkouts: DataFrame, now) -> DataFrame:

@@ -12,24 +12,24 @@ from pyspark.sql import functions as F
 from ..functions.text import BLOCKED_TEXT, contains_pii, detect_injection, fold_text
 
 # Words of other topics, and the wares they may still describe.
-FOREIGN_RE = (r"\b(?:matematic\w*|integral\w*|derivada\w*|tarea\w*|ecuacion\w*|python|javascript|"
+FOREIGN_RE = (r"(?U)\b(?:matematic\w*|integral\w*|derivada\w*|tarea\w*|ecuacion\w*|python|javascript|"
               r"codigo fuente|funcion|compilacion|clima|weather|politica|presidente|elecciones|finanzas personales|"
               r"receta\w*|capital de|sintoma\w*|diagnostico|enfermedad\w*|bitcoin|tradu\w*|"
               r"poema\w*|chiste\w*|partido|mundial|horoscopo|legal|cartesiano)\b")
-WARES_RE = r"\b(?:busco|busca|venden|tienen)\b.*\b(?:libro|medicina)"
+WARES_RE = r"(?U)\b(?:busco|busca|venden|tienen)\b.*\b(?:libro|medicina)"
 # Words of each topic, first match wins.
 TOPIC_RES = {
-    "preferencias": r"\b(?:recuerda\w*|recuerdas|recordar|memoria\w*|olvida\w*|preferencia\w*)\b",
-    "pagos_envios": r"\b(?:descuento\w*|pago\w*|yape|plin|tarjeta\w*|envio\w*|devolucion\w*)\b",
-    "pedidos": r"\b(?:pedido\w*|orden\w*)\b",
-    "carrito": r"\bcarrito\b",
-    "productos": (r"\b(?:tienda|producto\w*|catalogo|precio\w*|stock|talla\w*|presupuesto|marca\w*|compr\w*|"
+    "preferencias": r"(?U)\b(?:recuerda\w*|recuerdas|recordar|memoria\w*|olvida\w*|preferencia\w*)\b",
+    "pagos_envios": r"(?U)\b(?:descuento\w*|pago\w*|yape|plin|tarjeta\w*|envio\w*|devolucion\w*)\b",
+    "pedidos": r"(?U)\b(?:pedido\w*|orden\w*)\b",
+    "carrito": r"(?U)\bcarrito\b",
+    "productos": (r"(?U)\b(?:tienda|producto\w*|catalogo|precio\w*|stock|talla\w*|presupuesto|marca\w*|compr\w*|"
                   r"busco|busca|buscar|venden|tienen|audifono\w*|zapatilla\w*|regalo\w*|compara\w*)\b"),
 }
 # Greetings (the whole message) and words that point back.
-GREETING_RE = (r"^(?:hola|gracias(?: por (?:tu |la )?ayuda)?|muchas gracias|saludos|adios|hasta luego|"
+GREETING_RE = (r"(?U)^(?:hola|gracias(?: por (?:tu |la )?ayuda)?|muchas gracias|saludos|adios|hasta luego|"
                r"buenos dias|buenas tardes|buenas noches|que puedes hacer|en que puedes ayudarme|me ayudas|ayuda)[.!?¿¡\s]*$")
-FOLLOW_UP_RE = r"\b(?:otro|otra|ese|esa|eso|este|esta|si|no|dos|uno|cuanto|cuantos)\b|\d"
+FOLLOW_UP_RE = r"(?U)\b(?:otro|otra|ese|esa|eso|este|esta|si|no|dos|uno|cuanto|cuantos)\b|\d"
 REFUSAL = "Solo puedo ayudarte"
 FOLLOW_UP_WORDS = 6
 OUTSIDE, CHAT = "fuera_de_dominio", "conversacion"
@@ -44,11 +44,11 @@ def topic(folded: Column, shop_name: str | None = None) -> Column:
     """The category of one folded text, without its context.  The shop's own name
     (``shop_name``, folded) is a word of ``productos`` too."""
     t = F.btrim(folded, F.lit(" ¿¡"))
-    out = F.when(t.rlike(FOREIGN_RE) & ~t.rlike("(?s)" + WARES_RE), OUTSIDE).when(t.rlike(GREETING_RE), CHAT)
+    out = F.when(t.rlike(FOREIGN_RE) & ~t.rlike(WARES_RE), OUTSIDE).when(t.rlike(GREETING_RE), CHAT)
     for name, pattern in TOPIC_RES.items():
         said = t.rlike(pattern)
         if name == "productos" and shop_name:
-            said = said | t.rlike(rf"\b\Q{shop_name}\E\b")
+            said = said | t.rlike(rf"(?U)\b\Q{shop_name}\E\b")
         out = out.when(said, name)
     return out.otherwise(OUTSIDE)
 
@@ -65,7 +65,7 @@ def classify_domain(turns: DataFrame, shop_name: str | None = None) -> DataFrame
     opens = (F.col("own") != OUTSIDE) & ~F.contains("text", F.lit(BLOCKED_TEXT)) & ~F.startswith("text", F.lit(REFUSAL))
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("opened", F.last(F.when(F.col("type") == "ai", opens), ignorenulls=True).over(before))
-    words = F.size(F.filter(F.split("folded", r"\s+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split("folded", r"(?U)\s+"), lambda w: w != ""))
     follows = ((F.col("own") == OUTSIDE) & ~F.col("folded").rlike(FOREIGN_RE) & (words <= FOLLOW_UP_WORDS)
                & F.col("folded").rlike(FOLLOW_UP_RE) & (F.col("confirmed") | F.coalesce("opened", F.lit(False))))
     category = F.when(follows, CHAT).otherwise(F.col("own"))

@@ -113,14 +113,14 @@ def payment_reconciliation(orders: DataFrame, payments: DataFrame) -> DataFrame:
     aggregate is already partitioned by order id, so the full join adds no exchange on
     the payments side."""
     sales = orders.where(F.col("status").isin("confirmed", "shipped")).select(
-        "order_id", "total_amount", F.col("currency").alias("order_currency"))
+        "order_id", "total_amount", F.col("currency").alias("order_currency"), F.lit(True).alias("sold"))
     paid = payments.where(F.col("status") == "succeeded").groupBy("order_id").agg(
         F.sum("amount").cast("decimal(38,2)").alias("paid_amount"),
         F.min("currency").alias("paid_currency"),
-        F.count_distinct("currency").alias("currencies"))
+        F.count_distinct("currency").alias("currencies"), F.lit(True).alias("collected"))
     j = sales.join(paid, "order_id", "full")
-    reason = (F.when(F.col("paid_amount").isNull(), "missing_payment")
-              .when(F.col("total_amount").isNull() & F.col("order_currency").isNull(), "payment_without_sale")
+    reason = (F.when(F.col("collected").isNull(), "missing_payment")
+              .when(F.col("sold").isNull(), "payment_without_sale")
               .when((F.col("currencies") > 1) | (F.col("paid_currency") != F.col("order_currency")), "currency_mismatch")
               .when(~F.col("paid_amount").eqNullSafe(F.col("total_amount").cast("decimal(38,2)")), "amount_mismatch")
               .otherwise("ok"))

@@ -115,17 +115,11 @@ def q13(spark, sf_dir):
         F.count(F.lit(1)).alias("events"))
 
 
-@register("e14_payment_reconciliation", sql_ctes("""SELECT coalesce(s.order_id, p.order_id) AS order_id,
-    CAST(s.total_amount AS DECIMAL(38,2)) AS total_amount, p.paid_amount,
-    CASE WHEN p.paid_amount IS NULL THEN 'missing_payment'
-      WHEN s.total_amount IS NULL AND s.order_currency IS NULL THEN 'payment_without_sale'
-      WHEN p.currencies > 1 OR p.paid_currency <> s.order_currency THEN 'currency_mismatch'
-      WHEN p.paid_amount IS DISTINCT FROM CAST(s.total_amount AS DECIMAL(38,2)) THEN 'amount_mismatch'
-      ELSE 'ok' END AS reason
-  FROM (SELECT order_id, total_amount, currency AS order_currency FROM v_orders WHERE status IN ('confirmed', 'shipped')) s
-  FULL JOIN (SELECT order_id, CAST(sum(amount) AS DECIMAL(38,2)) AS paid_amount, min(currency) AS paid_currency,
-      count(DISTINCT currency) AS currencies FROM v_payments WHERE status = 'succeeded' GROUP BY order_id) p
-    ON s.order_id = p.order_id""", ["v_orders", "v_payments"]))
+@register("e14_payment_reconciliation", sql_ctes("""SELECT order_id, max(total) AS total_amount, CAST(sum(paid) AS DECIMAL(38,2)) AS paid_amount,
+  CASE WHEN NOT bool_or(side = 'p') THEN 'missing_payment' WHEN NOT bool_or(side = 's') THEN 'payment_without_sale'
+    WHEN count(DISTINCT currency) > 1 THEN 'currency_mismatch' WHEN coalesce(sum(paid) = max(total), false) THEN 'ok' ELSE 'amount_mismatch' END AS reason
+FROM (SELECT 's' AS side, order_id, CAST(total_amount AS DECIMAL(38,2)) AS total, NULL::DECIMAL(38,2) AS paid, currency FROM v_orders WHERE status IN ('confirmed', 'shipped')
+  UNION ALL SELECT 'p', order_id, NULL, amount, currency FROM v_payments WHERE status = 'succeeded') GROUP BY order_id""", ["v_orders", "v_payments"]))
 def e14(spark, sf_dir):
     from ..operators.payments import payment_reconciliation
     v = Views(spark, sf_dir)

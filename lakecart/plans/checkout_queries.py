@@ -158,28 +158,32 @@ def f9(spark, sf_dir):
 
 
 _LINES = ("lines", """SELECT order_id, product_id, CAST(sum(quantity) AS BIGINT) AS quantity FROM v_order_items GROUP BY order_id, product_id""")
+# Three requests of every fourth order (one of the others).  The first of every eighth asks for
+# too much and creates nothing; the second may have another buyer or other quantities; the
+# third repeats the first's lines as they should have been.
 _CREATE = ("create_requests", """SELECT l.order_id * 10 + k AS request_id, l.order_id, o.customer_id + CASE WHEN k = 2 AND l.order_id % 3 = 1 THEN 1 ELSE 0 END AS buyer,
-    l.product_id, l.quantity + CASE WHEN k = 2 AND l.order_id % 3 = 2 THEN 1 ELSE 0 END AS quantity
-  FROM lines l JOIN v_orders o ON o.order_id = l.order_id CROSS JOIN (SELECT unnest([1, 2]) AS k) WHERE k = 1 OR l.order_id % 4 = 0""")
-
-
-@register("e19_create_orders", sql_ctes("""SELECT r.request_id, r.order_id,
-  CASE WHEN k = 2 THEN CASE WHEN r.order_id % 3 = 0 THEN 'existing' ELSE 'conflict' END WHEN missing > 0 THEN 'price_unavailable'
-    WHEN total > 99999999 THEN 'amount_invalid' ELSE 'created' END AS decision,
-  CASE WHEN k = 1 AND missing = 0 AND total <= 99999999 THEN CAST(total AS BIGINT) END AS total
-FROM (SELECT request_id, order_id, request_id % 10 AS k, count(*) FILTER (WHERE p.price IS NULL) AS missing,
-    sum(CAST(p.price * 100 AS BIGINT) * quantity) AS total
-  FROM create_requests c LEFT JOIN (SELECT * FROM v_products WHERE product_id % 50 <> 0) p ON p.product_id = c.product_id
-  GROUP BY request_id, order_id) r""", ["v_orders", "v_order_items", "v_products"], [_LINES, _CREATE]))
+    l.product_id, l.quantity + CASE WHEN k = 2 AND l.order_id % 3 = 2 THEN 1 WHEN k = 1 AND l.order_id % 8 = 4 THEN 90000 ELSE 0 END AS quantity
+  FROM lines l JOIN v_orders o ON o.order_id = l.order_id CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) WHERE k = 1 OR l.order_id % 4 = 0""")
+
+
+@register("e19_create_orders", sql_ctes("""SELECT r.request_id, r.order_id, CASE WHEN r.request_id > f.request_id THEN
+    CASE WHEN r.buyer = f.buyer AND r.cart = f.cart THEN 'existing' ELSE 'conflict' END ELSE r.verdict END AS decision,
+  CASE WHEN r.request_id = f.request_id THEN r.total END AS total
+FROM judged r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY request_id) AS place FROM judged WHERE verdict = 'created') f
+  ON f.order_id = r.order_id AND f.place = 1""", ["v_orders", "v_order_items", "v_products"], [_LINES, _CREATE, ("judged", """SELECT *,
+    CASE WHEN missing THEN 'price_unavailable' WHEN total > 99999999 THEN 'amount_invalid' ELSE 'created' END AS verdict FROM (
+  SELECT request_id, order_id, buyer, string_agg(c.product_id || 'x' || quantity, ',' ORDER BY c.product_id) AS cart,
+    bool_or(p.price IS NULL) AS missing, CAST(sum(CAST(p.price * 100 AS BIGINT) * quantity) AS BIGINT) AS total
+  FROM create_requests c LEFT JOIN v_products p ON p.product_id = c.product_id AND p.product_id % 50 <> 0 GROUP BY request_id, order_id, buyer)""")]))
 def e19(spark, sf_dir):
     v = Views(spark, sf_dir)
     k = F.col("order_id")
     lines = v.v_order_items.groupBy("order_id", "product_id").agg(F.sum("quantity").alias("quantity"))
     carts = lines.groupBy("order_id").agg(F.collect_list(F.struct("product_id", "quantity")).alias("items"))
-    x = carts.join(v.v_orders.select("order_id", "customer_id"), "order_id").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    x = carts.join(v.v_orders.select("order_id", "customer_id"), "order_id").withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
     x = x.where((F.col("k") == 1) | (k % 4 == 0))
     second = F.col("k") == 2
-    more = F.when(second & (k % 3 == 2), 1).otherwise(0)
+    more = F.when(second & (k % 3 == 2), 1).when((F.col("k") == 1) & (k % 8 == 4), 90000).otherwise(0)
     requests = x.select(
         (k * 10 + F.col("k")).alias("request_id"), "order_id",
         (F.col("customer_id") + F.when(second & (k % 3 == 1), 1).otherwise(0)).alias("buyer"),
