@@ -113,9 +113,7 @@ def stock_counts(c: Column) -> Column:
 
 def _leaks(folded_words: Column, system_prompt: str, n: int = PROMPT_NGRAM) -> Column:
     """Eight words of the system prompt in a row (its folded words are a parameter)."""
-    import pandas as pd
-
-    words = T._folded(pd.Series([system_prompt])).str.split().iloc[0]
+    words = T.fold(system_prompt).split()
     grams = sorted({" ".join(words[i: i + n]) for i in range(len(words) - n + 1)})
     said = F.array_join(folded_words, " ")
     return F.exists(F.array(*map(F.lit, grams)), lambda g: F.contains(said, g)) if grams else F.lit(False)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 
 PROMPT_NGRAM = 8
 
@@ -23,12 +24,10 @@ def redact_corpus(df: DataFrame, text: str = "text") -> DataFrame:
         "secrets": T.SECRET_MARK,
     }
     out = df.withColumn("redacted", redacted)
-    counts = [
-        (T.count_matches("redacted", r"\Q" + m + r"\E") - T.count_matches(text, r"\Q" + m + r"\E")).alias(name)
-        for name, m in marks.items()
-    ]
-    return out.select("*", *counts).withColumn(
-        "has_pii", (F.col("redacted") != F.col(text)) | F.col(text).rlike(T.MARKERS_RE))
+    changed = F.col("redacted") != F.col(text)
+    counts = [F.when(changed, T.count_literal("redacted", m) - T.count_literal(text, m)).when(~changed, 0).alias(name)
+              for name, m in marks.items()]
+    return out.select("*", *counts, (changed | F.col(text).rlike(T.MARKERS_RE)).alias("has_pii"))
 
 
 def redaction_summary(annotated: DataFrame, keys=("lang", "source")) -> DataFrame:
@@ -51,40 +50,28 @@ def prompt_overlap(texts: DataFrame, references: DataFrame, n: int = PROMPT_NGRA
 
     Occurrence is substring containment in whitespace-normalised text, so the first
     reference word may end a longer text word and the last may begin one; the middle
-    ``n - 2`` words must be whole text words.  That makes an exact equi-join on the middle
-    (n-2)-gram, with the two edge words checked by suffix/prefix after the join.
-
-    Both sides are exploded to one row per position; the join key is the middle gram's
-    hash plus its text, so a hot gram is split by AQE's skew handling rather than landing
-    whole in one task."""
+    ``n - 2`` words must be whole text words.  Each position is one 64-bit hash of its middle
+    words; those that a reference has too are kept (an equi-join on the hash, broadcast when the
+    references are measured small, split by AQE where a hash is hot), and only their texts
+    are folded again to compare the words themselves."""
     if n < 3:
         raise ValueError("n must be >= 3")
     inner = n - 2
 
-    def grams(df, key, text_col):
-        # The gram structs are built inside the row (one pass over the word array) and
-        # only then exploded, so exploded rows never carry the whole text.
-        w = df.select(F.col(key).alias("k"), _words(F.col(text_col)).alias("w"))
-        g = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(
-            F.array_join(F.slice("w", i + 1, inner), " ").alias("mid"),
-            F.element_at("w", i).alias("first"),
-            F.element_at("w", i + n - 1).alias("last")))
-        # no filter on the UDF result (it would be evaluated twice); short texts explode nothing
-        grams_col = F.when(F.size("w") >= n, g).otherwise(F.array())
-        return w.select("k", F.explode(grams_col).alias("g")).select("k", "g.mid", "g.first", "g.last")
-
-    # The text side is not de-duplicated before the join: that would shuffle every
-    # position.  The join keeps only positions whose middle gram occurs in a reference
-    # (the reference side is broadcast when it is measured small), and the (text,
-    # reference) pairs are de-duplicated afterwards.
-    t = grams(texts, text_key, "text").withColumnRenamed("k", text_key)
-    r = grams(references, ref_key, "text").distinct().withColumnRenamed("k", ref_key) \
-        .withColumnRenamed("first", "r_first").withColumnRenamed("last", "r_last")
-    t = t.withColumn("h", F.xxhash64("mid"))
-    r = r.withColumn("h", F.xxhash64("mid"))
-    j = t.join(r, ["h", "mid"])
-    hit = j.where(F.col("first").endswith(F.col("r_first")) & F.col("last").startswith(F.col("r_last")))
-    return hit.select(text_key, ref_key).distinct()
+    def hashes(df, key, *more):
+        return df.select(F.col(key), *more, F.posexplode(T.gram_hashes("text", inner, 1, 1)).alias("at", "h"))
+
+    r = hashes(references.select(ref_key, "text", _words(F.col("text")).alias("w")), ref_key, "w")
+    r = r.select(ref_key, "h", F.slice("w", F.col("at") + 1, n).alias("r")).distinct()
+    t = hashes(texts, text_key)
+    hits = materialize(t.join(r, "h").select(text_key, "at", ref_key, "r"), "gram-hits")
+    near = texts.join(hits.select(text_key).distinct(), text_key, "left_semi")
+    words = near.select(F.col(text_key), _words(F.col("text")).alias("w"))
+    found = hits.join(words, text_key).withColumn("t", F.slice("w", F.col("at") + 1, n))
+    same = ((F.slice("t", 2, inner) == F.slice("r", 2, inner)) & F.endswith(F.get("t", F.lit(0)), F.get("r", F.lit(0)))
+            & F.startswith(F.get("t", F.lit(n - 1)), F.get("r", F.lit(n - 1))))
+    # under coalesce no "is not null" can be derived, which would fold every text below the semi join
+    return found.where(F.coalesce(same, F.lit(False))).select(text_key, ref_key).distinct()
 
 
 # ------------------------------------------------------------------------------ windows
