@@ -29,5 +29,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from .plans import (cart_queries, catalog_queries, checkout_queries, domain_queries, eval_queries, guard_queries,  # noqa: F401
+    from .plans import (cart_queries, catalog_queries, checkout_queries, domain_queries, eval_queries, guard_queries, intake_queries,  # noqa: F401
                         lake_queries, mart_queries, saga_queries, search_queries, stock_queries, talk_queries)

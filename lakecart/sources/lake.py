@@ -30,6 +30,10 @@ def curated_schema(table: str) -> T.StructType:
     return T.StructType([T.StructField(c, T._parse_datatype_string(t), True) for c, t in TABLES[table].items()])
 
 
+# The format of the raw drops.
+CSV_FORMAT = {"header": "true", "inferSchema": "false", "mode": "FAILFAST", "encoding": "UTF-8", "escape": '"'}
+
+
 def _table_dir(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
@@ -39,8 +43,7 @@ def read_raw(spark: SparkSession, root: str, table: str) -> DataFrame:
     registry columns in order (checked on metadata only — the header of the first file —
     without reading the data)."""
     apply_policy(spark)
-    reader = (spark.read.option("header", "true").option("inferSchema", "false")
-              .option("mode", "FAILFAST").option("encoding", "UTF-8").option("escape", '"'))
+    reader = spark.read.options(**CSV_FORMAT)
     probe = reader.csv(_table_dir(root, table))  # header-only schema resolution
     expected = list(TABLES[table])
     if probe.columns != expected:
