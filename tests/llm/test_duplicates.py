@@ -174,6 +174,39 @@ def test_lone_pairs_at_the_threshold_are_found_at_any_size(spark, n):
     assert np.mean([got[n - pairs + i] == got[i] for i in range(pairs)]) >= 0.97
 
 
+@pytest.mark.parametrize("mean", [0.5, 0.7])
+def test_lone_pairs_in_a_cone_are_found(spark, mean):
+    rng = np.random.default_rng(7)
+    n, dim, pairs = 4000, 64, 500
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    x = unit(np.sqrt(mean) * np.eye(dim)[0] + np.sqrt(1 - mean) * unit(rng.standard_normal((n, dim))))
+    off = rng.standard_normal((pairs, dim))
+    off = unit(off - (off * x[:pairs]).sum(1, keepdims=True) * x[:pairs])
+    x[n - pairs:] = 0.905 * x[:pairs] + np.sqrt(1 - 0.905**2) * off
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in neardup.near_duplicates(df).collect()}
+    assert np.mean([got[n - pairs + i][0] == got[i][0] for i in range(pairs)]) >= 0.98
+    close = (x @ x.T >= 0.9).sum(1) - 1
+    assert sum(links for _, links in got.values()) >= 0.98 * close.sum()
+
+
+def test_passes_follow_from_the_sample():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    few, more = (neardup.measured_passes(x, n, 256, 0.9, 0.99) for n in (2000, 200_000))
+    assert neardup.measured_passes(x, 100, 256, 0.9, 0.99) == 1 < few < more
+    cone = x + 1.2 * np.eye(64)[0]
+    assert neardup.measured_passes(cone / np.linalg.norm(cone, axis=1, keepdims=True), 2000, 256, 0.9, 0.99) > few
+    copies = np.concatenate([x[:250], x[0] + 0.02 * rng.standard_normal((250, 64))])  # a dense group needs no more of them
+    copies /= np.linalg.norm(copies, axis=1, keepdims=True)
+    assert neardup.measured_passes(copies, 2000, 256, 0.9, 0.99) <= few + 2
+    assert neardup.measured_passes(x[:0], 0, 256, 0.9, 0.99) == 1
+
+
 def test_packing_is_whole_and_gapless(spark, edge_docs, no_docs):
     from tokenizers import Tokenizer
 
