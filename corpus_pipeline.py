@@ -1,8 +1,8 @@
 """A training-data pipeline over ``documents``: five stages of the operators in
 ``lakecart.llm``.  Each stage is written as a table and read again by the next.
 
-Rejected documents go at stages 1 to 3 (no identifiable language, toxic, not the first
-of its near-duplicate group); stage 4 masks secrets in place; stage 5 packs what is left
+Rejected documents go at stages 1 to 3 (no identifiable language or surely another than
+stated, toxic, not the first of its near-duplicate group); stage 4 masks secrets in place; stage 5 packs what is left
 into sequences.  Documents keep all columns of ``documents`` up to stage 4.
 """
 
@@ -20,11 +20,17 @@ from lakecart.sources.tables import load
 ORACLE_SQL = None
 
 
+#: Score from which a prediction that differs from the stated language rejects a document.
+SURE = 0.9
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose text is null or has no letter in it: they have no
-    identifiable language.  ``lang`` stays the source's."""
+    """Rejects documents whose text is null or has no letter in it (they have no
+    identifiable language), and those that are surely in another language than the source
+    states.  ``lang`` stays the source's; documents without one are not compared."""
     scored = langid.identify(docs, docs)
-    return scored.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    wrong = F.coalesce((scored["lang"] != F.col("lang_pred")) & (F.col("score") >= SURE), F.lit(False))
+    return scored.where((F.col("lang_pred") != langid.UNDETERMINED) & ~wrong).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ moves.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -67,8 +68,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         special = {t.content for t in self.model.get_added_tokens_decoder().values()}
+        #: words with a special token in them, which the tokenizer gives its own id
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)").search
         bytes_of = _byte_characters()
         ranks = {}
         for token, i in self.model.get_vocab(with_added_tokens=True).items():
@@ -85,7 +87,7 @@ class WordTokenizer:
         out, plain, pieces, counts = {}, [], [], []
         for w in words:
             text = w.decode()
-            if _LATIN(text):
+            if _LATIN(text) and not self.special(text):
                 lower = unicodedata.normalize("NFC", text).lower()
                 parts = [lower] if lower.isalpha() else _PRETOKEN(lower)
                 plain.append(w)

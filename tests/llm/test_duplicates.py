@@ -207,11 +207,24 @@ def test_passes_follow_from_the_sample():
     assert neardup.measured_passes(x[:0], 0, 256, 0.9, 0.99) == 1
 
 
+def test_special_tokens_have_their_own_ids():
+    from tokenizers import Tokenizer
+
+    model, words = Tokenizer.from_file(WORDS), packing.WordTokenizer(WORDS)
+    for text in ("a <|endoftext|> b", "x<|endoftext|>y,z", "é<|endoftext|>日本", "<|endoftext|><|startoftext|>", "<|EndOfText|>"):
+        assert np.frombuffer(words.encode_all([text])[0], np.uint32).tolist() == model.encode(text, add_special_tokens=False).ids
+
+
+def test_candidates_of_one_long_run_take_one_pass():
+    assert secrets.candidates("a-" * 300_000) == []
+    text = "a-" * 300_000 + "7"
+    assert [(a, b) for a, b, *_ in secrets.candidates(text)] == [(0, len(text))]
+
+
 def test_packing_is_whole_and_gapless(spark, edge_docs, no_docs):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(WORDS)
-    model.encode_special_tokens = True
     rows = packing.pack(edge_docs, WORDS, capacity=256, with_ids=True).collect()
     got = collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"], bytes(r["ids"])) for r in rows)
     expected = collections.Counter()
