@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,14 +87,19 @@ def feature_sets(text: Column) -> Column:
 
 def _epoch(table: pa.Table, state: tuple | None, rates: Rates, min_docs: int) -> pa.Table:
     """One pass of a shard over its rows in the order of their hash."""
-    table = table.sort_by([("u", "ascending"), ("doc_id", "ascending")])
+    order = pc.sort_indices(table, [("u", "ascending"), ("doc_id", "ascending")]).to_numpy()
+    y = table.column("label").to_numpy()[order]
     lists = table.column("slots").combine_chunks()
+    del table
     flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
     offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-    ranked = np.sort(flat)
-    ahead = ranked[min_docs - 1:]  # a slot occurs min_docs times if the place that far on holds it too
-    slots = np.unique(ahead[ahead == ranked[: len(ahead)]])
-    del ranked, ahead
+    frequent = []
+    for high in range(16):  # a sixteenth of the slots at a time
+        ranked = np.sort(flat[flat >> np.uint32(28) == high])
+        ahead = ranked[min_docs - 1:]  # a slot occurs min_docs times if the place that far on holds it too
+        frequent.append(np.unique(ahead[ahead == ranked[: len(ahead)]]))
+    slots = np.concatenate(frequent)
+    del ranked, ahead, frequent
     ends = np.append(slots, np.uint32(0))  # a place past the last slot holds no feature
     z, n = np.zeros(len(slots) + 1), np.zeros(len(slots) + 1)  # the last coordinate is the bias
     if state is not None:
@@ -102,15 +108,14 @@ def _epoch(table: pa.Table, state: tuple | None, rates: Rates, min_docs: int) ->
         hit = (at < len(old)) & (old[np.minimum(at, len(old) - 1)] == slots) if len(old) else np.zeros(len(slots), bool)
         z[:-1][hit], n[:-1][hit] = old_z[at[hit]], old_n[at[hit]]
         z[-1], n[-1] = bias
-    y = table.column("label").to_numpy()
-    for i in range(len(y)):
-        ids = flat[offsets[i]: offsets[i + 1]]
+    for row, label in zip(order, y, strict=True):
+        ids = flat[offsets[row]: offsets[row + 1]]
         at = np.searchsorted(slots, ids)
         x = np.append(at[(at < len(slots)) & (ends[at] == ids)], len(slots))
         weight = rates.weight(z[x], n[x])
         if x[-1] == len(slots):  # the bias has no L1
             weight[-1] = -z[-1] / ((rates.beta + np.sqrt(n[-1])) / rates.alpha)
-        g = 1.0 / (1.0 + np.exp(-np.clip(weight.sum(), -30, 30))) - y[i]
+        g = 1.0 / (1.0 + np.exp(-np.clip(weight.sum(), -30, 30))) - label
         rate = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / rates.alpha
         z[x] += g - rate * weight
         n[x] += g * g
