@@ -45,7 +45,7 @@ _HELD = ("held", "SELECT *, regexp_matches(t, '" + _plain(domain.FOREIGN_RE) + "
 _TOPIC = ("topics_of", f"""SELECT *, CASE WHEN foreign_words > wares THEN '{domain.OUTSIDE}' WHEN greets THEN '{domain.CHAT}'
   ELSE coalesce([x FOR x IN topics IF x IS NOT NULL][1], '{domain.OUTSIDE}') END AS own FROM held""")
 _FOLLOW = ("categories", f"""SELECT h.conv_id, h.turn, CASE WHEN h.own = '{domain.OUTSIDE}' AND NOT h.foreign_words AND h.points
-    AND len(regexp_extract_all(h.t, '\S+')) <= 6 AND a.own <> '{domain.OUTSIDE}' AND NOT contains(a.text, '[mensaje bloqueado]')
+    AND len(regexp_extract_all(h.t, '[^\\s]+')) <= 6 AND a.own <> '{domain.OUTSIDE}' AND NOT contains(a.text, '[mensaje bloqueado]')
     AND NOT starts_with(a.text, '{domain.REFUSAL}') THEN '{domain.CHAT}' ELSE h.own END AS category
   FROM topics_of h ASOF LEFT JOIN (SELECT * FROM topics_of WHERE type = 'ai') a ON a.conv_id = h.conv_id AND h.turn > a.turn WHERE h.type = 'human'""")
 

@@ -223,29 +223,26 @@ def low_stock(products: DataFrame, inventory: DataFrame, limit: int = 10) -> Dat
 
 def kpi_summary(orders: DataFrame, payments: DataFrame, products: DataFrame,
                 items: DataFrame) -> DataFrame:
-    """Q9: one row of sanity KPIs, each an independent aggregate evaluated as a scalar
-    subquery (no cross join of one-row frames)."""
-    sales = sales_only(orders)
-    daily = (sales.where(F.col("total_amount").isNotNull() & F.col("order_date").isNotNull())
-             .groupBy(day_of("order_date").alias("day")).agg(F.sum("total_amount").alias("amount")))
-    n_fail = F.count_if(F.col("status") == "failed")
-    n_pay = F.count(F.lit(1))
-    scalars = {
-        "sales_orders": sales.select(F.count(F.lit(1))),
-        "succeeded_payments": payments.select(F.count_if(F.col("status") == "succeeded")),
-        "payment_fail_rate_pct": payments.select(
-            F.coalesce(half_up_cents(n_fail * 10000, n_pay), F.lit(0).cast("decimal(18,2)"))),
-        "low_or_oos_products": products.select(
-            F.count_if(stock_band("stock").isin("low", "out_of_stock"))),
-        "avg_daily_sales": daily.select(
-            F.coalesce(half_up_cents((F.sum("amount") * 100).cast("decimal(38,0)"), F.count(F.lit(1))),
-                       F.lit(0).cast("decimal(18,2)"))),
-        "sales_days": daily.select(F.count(F.lit(1))),
-        "items": items.select(F.count(F.lit(1))),
-    }
-    carrier = orders.select(F.count(F.lit(1)).alias("orders"))
-    row = carrier.select("orders", *[df.scalar().alias(name) for name, df in scalars.items()])
-    return row.select("*", half_up_cents(F.col("items") * 100, F.col("orders")).alias("items_per_order")).drop("items")
+    """Q9: one row of sanity KPIs.  Each table is read once: orders are grouped by the day
+    of a sale with an amount (other orders by no day), which gives the daily figures and
+    the counts together; the other tables come in as one scalar subquery each."""
+    sale = F.coalesce(F.col("status").isin(*SALES_STATUSES), F.lit(False))
+    day = F.when(sale & F.col("total_amount").isNotNull(), day_of("order_date"))
+    by_day = (orders.select(day.alias("day"), sale.alias("sale"), "total_amount").groupBy("day")
+              .agg(F.count(F.lit(1)).alias("n"), F.count_if("sale").alias("n_sales"),
+                   F.sum(F.when(F.col("day").isNotNull(), F.col("total_amount"))).alias("amount")))
+    facts = by_day.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orders"), F.coalesce(F.sum("n_sales"), F.lit(0)).alias("sales_orders"),
+                       F.count("day").alias("sales_days"), (F.sum("amount") * 100).cast("decimal(38,0)").alias("cents"))
+    paid = payments.select(F.struct(F.count_if(F.col("status") == "succeeded").alias("good"),
+                                    F.count_if(F.col("status") == "failed").alias("failed"), F.count(F.lit(1)).alias("n")))
+    low = products.select(F.count_if(stock_band("stock").isin("low", "out_of_stock")))
+    row = facts.select("*", paid.scalar().alias("p"), low.scalar().alias("low"), items.select(F.count(F.lit(1))).scalar().alias("items"))
+    zero = F.lit(0).cast("decimal(18,2)")
+    return row.select(
+        "orders", "sales_orders", F.col("p.good").alias("succeeded_payments"),
+        F.coalesce(half_up_cents(F.col("p.failed") * 10000, F.col("p.n")), zero).alias("payment_fail_rate_pct"),
+        F.col("low").alias("low_or_oos_products"), F.coalesce(half_up_cents(F.col("cents"), F.col("sales_days")), zero).alias("avg_daily_sales"),
+        "sales_days", half_up_cents(F.col("items") * 100, F.col("orders")).alias("items_per_order"))
 
 
 # ------------------------------------------------------------------------------ Q10-Q11
@@ -283,20 +280,14 @@ def top_products_detail(q4: DataFrame) -> DataFrame:
 def mart_invariants(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Q11: Σ order_count of Q1 equals the orders; the Q2 join neither adds nor loses
     sales count or amount; coverage counts."""
-    q1 = orders_by_month_status(orders)
-    q2 = revenue_by_segment(orders, customers)
-    sales = sales_only(orders)
-    checks = {
-        "q1_order_count": q1.select(F.sum("order_count")),
-        "q1_orders_with_amount": q1.select(F.sum("orders_with_amount")),
-        "sales_orders": sales.select(F.count(F.lit(1))),
-        "sales_amount": sales.select(sum_money("total_amount")),
-        "q2_order_count": q2.select(F.sum("order_count")),
-        "q2_sales_amount": q2.select(F.sum("sales_amount").cast(MONEY_SUM)),
-        "orders_with_amount": orders.select(F.count("total_amount")),
-    }
-    carrier = orders.select(F.count(F.lit(1)).alias("orders"))
-    out = carrier.select("orders", *[df.scalar().alias(k) for k, df in checks.items()])
+    q1 = orders_by_month_status(orders).select(F.struct(F.sum("order_count").alias("n"), F.sum("orders_with_amount").alias("a")))
+    q2 = revenue_by_segment(orders, customers).select(F.struct(F.sum("order_count").alias("n"), F.sum("sales_amount").cast(MONEY_SUM).alias("a")))
+    sale = F.col("status").isin(*SALES_STATUSES)
+    base = orders.agg(F.count(F.lit(1)).alias("orders"), F.count_if(sale).alias("sales_orders"),
+                      F.sum(F.when(sale, F.col("total_amount"))).cast(MONEY_SUM).alias("sales_amount"), F.count("total_amount").alias("orders_with_amount"))
+    out = base.select("*", q1.scalar().alias("q1"), q2.scalar().alias("q2")).select(
+        "orders", F.col("q1.n").alias("q1_order_count"), F.col("q1.a").alias("q1_orders_with_amount"), "sales_orders", "sales_amount",
+        F.col("q2.n").alias("q2_order_count"), F.col("q2.a").alias("q2_sales_amount"), "orders_with_amount")
     return out.select(
         "*",
         ((F.col("q1_order_count") == F.col("orders"))
