@@ -15,7 +15,6 @@ moves.
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -69,8 +68,8 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         special = {t.content for t in self.model.get_added_tokens_decoder().values()}
-        #: words with a special token in them, which the tokenizer gives its own id
-        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)").search
+        #: words with a special token in them go to the tokenizer, which gives it its own id
+        self.special = [s.encode() for s in special]
         bytes_of = _byte_characters()
         ranks = {}
         for token, i in self.model.get_vocab(with_added_tokens=True).items():
@@ -85,16 +84,23 @@ class WordTokenizer:
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words that are not kept."""
         out, plain, pieces, counts = {}, [], [], []
+        everything = b" ".join(words)
+        special = [s for s in self.special if s in everything]
         for w in words:
-            text = w.decode()
-            if _LATIN(text) and not self.special(text):
-                lower = unicodedata.normalize("NFC", text).lower()
+            if special and any(s in w for s in special):
+                lower = None
+            elif w.isascii():
+                lower = None if b"\0" in w else w.lower().decode()
+            else:
+                text = w.decode()
+                lower = unicodedata.normalize("NFC", text).lower() if _LATIN(text) else None
+            if lower is not None:
                 parts = [lower] if lower.isalpha() else _PRETOKEN(lower)
                 plain.append(w)
                 pieces += parts
                 counts.append(len(parts))
             else:
-                out[w] = np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+                out[w] = np.array(self.model.encode(w.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
         if pieces:
             ids = np.array(self.merger.encode_ordinary(_STOP.join(pieces) + _STOP), np.uint32)
             stops = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1]) * 4
