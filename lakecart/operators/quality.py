@@ -59,12 +59,15 @@ def check_schema(df: DataFrame, required: dict[str, str]) -> list[str]:
 
 
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, rule: str) -> DataFrame:
-    """One referential rule: distinct child keys without a parent.  Keys are made distinct
-    first (a partial aggregate before the exchange), so a hot key is shuffled once per task,
-    then anti-joined."""
-    keys = child.select(F.col(child_key).alias("key")).where(F.col("key").isNotNull()).distinct()
-    par = parent.select(F.col(parent_key).alias("key"))
-    return keys.join(par, "key", "left_anti").select(F.lit(rule).alias("rule"), F.col("key").cast("string").alias("key"))
+    """One referential rule: distinct child keys without a parent.  Keys of both sides meet in
+    one aggregate, combined before the exchange, so a hot key is shuffled once per task and a
+    task holds one table of its distinct keys: no side is sorted for a join."""
+    keys = child.select(F.col(child_key).alias("key"), F.lit(False).alias("parent"))
+    kind = keys.schema["key"].dataType
+    # a parent key outside the children's type is no child's parent
+    par = parent.select(F.col(parent_key).try_cast(kind).alias("key"), F.lit(True).alias("parent"))
+    found = keys.unionByName(par).where(F.col("key").isNotNull()).groupBy("key").agg(F.bool_or("parent").alias("found"))
+    return found.where(~F.col("found")).select(F.lit(rule).alias("rule"), F.col("key").cast("string").alias("key"))
 
 
 def foreign_keys(rules: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
