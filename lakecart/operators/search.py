@@ -2,14 +2,18 @@
 
 No request meets a product it doesn't need:
 
-* Grams of one to three characters of the searched fields are an index (gram -> product).
-  A term of three characters or more contains its rarest gram, so an equi-join on that
-  gram gives all products that can match; the exact substring test follows.  Shorter terms
-  are grams themselves.  Requests with the same term share the work.
+* Grams of one to six characters of the searched fields are an index (gram -> product), of
+  which only asked grams are kept.  Terms of up to six characters are grams themselves, so the
+  index holds their matches.  A longer term contains its rarest gram: an equi-join on that
+  gram gives all products that can match, the exact substring test follows.  Requests with
+  the same term share the work.
 * Prices are the leaves of a tree with sixteen branches to a node.  For each term every
   node knows how many of its products match and the newest of them.  A price range is a
   few nodes of each level; joining on (term, node) gives the total, which no limit cuts,
   and the newest products.  A request's work doesn't grow with its matches.
+
+Joins of exploded rows are sort-merge joins: the planner takes an exploded array for one
+element, and would send tables of grams or nodes whole to the driver to broadcast them.
 """
 
 from __future__ import annotations
@@ -18,9 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import money_to_cents
+from ..session import materialize
 from .catalog import product_summary
 
-GRAM = 3
+GRAM = 6
 MAX_LIMIT, DEFAULT_LIMIT = 10, 5
 MAX_TERM = 100
 BRANCH_BITS = 4
@@ -47,17 +52,20 @@ def term_matches(products: DataFrame, terms: DataFrame, fields: tuple[str, ...]
     asked = grams.select("term", F.explode("grams").alias("gram"))
     lowered = [F.coalesce(F.lower(F.col(f)), F.lit("")) for f in fields]
     index = (products.select("product_id", F.explode(F.array_distinct(F.concat(*[_grams(t) for t in lowered]))).alias("gram"))
-             .join(asked.select("gram").distinct(), "gram", "left_semi"))
+             .join(asked.select("gram").distinct().hint("merge"), "gram", "left_semi"))
+    index = materialize(index, "search-grams")
     sizes = index.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = (asked.join(sizes, "gram", "left").groupBy("term")
+    rarest = (asked.join(sizes.hint("merge"), "gram", "left").groupBy("term")
               .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("term", "r.gram"))
-    found = rarest.join(index, "gram").select("term", "product_id")
+    found = rarest.join(index.hint("merge"), "gram").select("term", "product_id")
+    short = F.length("term") <= GRAM
     text = products.select("product_id", *[t.alias(f"_f{i}") for i, t in enumerate(lowered)])
     holds = None
     for i in range(len(fields)):
         c = F.contains(F.col(f"_f{i}"), F.col("term"))
         holds = c if holds is None else holds | c
-    return found.join(text, "product_id").where(holds).select("term", "product_id")
+    held = found.where(~short).join(text.hint("merge"), "product_id").where(holds)
+    return found.where(short).unionByName(held.select("term", "product_id"))
 
 
 def _range_nodes(low: Column, high: Column, levels: int) -> Column:
@@ -107,7 +115,7 @@ def search_many(products: DataFrame, requests: DataFrame, created: str = "create
     terms = good.where("term <> ''").select("term").distinct()
     matches = term_matches(products, terms, fields).unionByName(
         products.select(F.lit("").alias("term"), "product_id"))  # the blank term matches all
-    keyed = matches.join(products.select("product_id", F.col(created).alias("created"), (cents - base).alias("leaf")), "product_id")
+    keyed = matches.join(products.select("product_id", F.col(created).alias("created"), (cents - base).alias("leaf")).hint("merge"), "product_id")
     at = F.array(F.struct(F.lit(ROOT).alias("level"), F.lit(0).cast("long").alias("node")),
                  *[F.struct(F.lit(k).alias("level"), F.floor(F.col("leaf") / F.lit(1 << (BRANCH_BITS * k))).cast("long").alias("node"))
                    for k in range(levels)])
@@ -120,18 +128,18 @@ def search_many(products: DataFrame, requests: DataFrame, created: str = "create
     wanted = good.select("request_id", "term", "limit", F.explode(nodes).alias("x")).select("request_id", "term", "limit", "x.level", "x.node")
     placed = (keyed.select("term", "product_id", "created", F.explode(at).alias("x")).where(F.col("x.node").isNotNull())
               .select("term", "product_id", "created", "x.level", "x.node")
-              .join(wanted.select("term", "level", "node").distinct(), ["term", "level", "node"], "left_semi"))
+              .join(wanted.select("term", "level", "node").distinct().hint("merge"), ["term", "level", "node"], "left_semi"))
     node = ("term", "level", "node")
-    totals = (wanted.join(placed.groupBy(*node).agg(F.count("*").alias("n")), list(node))
+    totals = (wanted.join(placed.groupBy(*node).agg(F.count("*").alias("n")).hint("merge"), list(node))
               .groupBy("request_id").agg(F.sum("n").alias("total")))
     newest = (F.col("created").desc_nulls_last(), F.col("product_id").asc())
     heads = (placed.withColumn("r", F.row_number().over(Window.partitionBy(*node).orderBy(*newest))).where(F.col("r") <= MAX_LIMIT).drop("r"))
-    shown = (wanted.join(heads, list(node))
+    shown = (wanted.join(heads.hint("merge"), list(node))
              .withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy(*newest)))
              .where(F.col("place") <= F.col("limit")).select("request_id", "place", "product_id"))
-    listed = shown.join(product_summary(products), "product_id")
+    listed = shown.join(product_summary(products).hint("merge"), "product_id")
     columns = ["place", "product_id", "title", "price_text", "available", "description"]
-    return (r.select("request_id", "error").join(totals, "request_id", "left").join(listed, "request_id", "left")
+    return (r.select("request_id", "error").join(totals.hint("merge"), "request_id", "left").join(listed.hint("merge"), "request_id", "left")
             .select("request_id", F.when(F.col("error").isNull(), F.coalesce("total", F.lit(0))).alias("total"), *columns, "error"))
 
 
