@@ -120,7 +120,8 @@ def sanitize_payload(docs: DataFrame, key: str, payload: str = "payload", trace:
         inner.createOrReplaceTempView("_nodes")
         level = spark.sql("""SELECT n._k, concat(n.path, '/', e.pos) AS path, n.path AS up, e.key AS name, e.pos,
           coalesce(e.key, n.field) AS field, e.value AS v FROM _nodes n, LATERAL variant_explode(n.v) e""")
-    # up: leaves as JSON text, then each level's texts inside those of the level above
+    # up: leaves as JSON text, then each level's texts inside those of the level above; merged,
+    # for beside the width the planner gives a variant the texts look small enough to broadcast
     below = None
     for level in reversed(levels):
         raw = F.try_variant_get("v", "$", "string")
@@ -134,7 +135,7 @@ def sanitize_payload(docs: DataFrame, key: str, payload: str = "payload", trace:
                 F.array_sort(F.collect_list(F.struct("pos", F.concat(F.when(F.col("name").isNotNull(), F.concat(_quoted(F.col("name")), F.lit(":")))
                                                                      .otherwise(""), F.col("json")).alias("j")))).alias("parts"))
             body = F.coalesce(F.array_join(F.transform("parts", lambda x: x["j"]), ","), F.lit(""))
-            whole = level.join(parts, ["_k", "path"], "left").withColumn("json", F.when(F.col("kind") == "OBJECT", F.concat(F.lit("{"), body, F.lit("}")))
+            whole = level.join(parts.hint("merge"), ["_k", "path"], "left").withColumn("json", F.when(F.col("kind") == "OBJECT", F.concat(F.lit("{"), body, F.lit("}")))
                                                                          .when(F.col("kind") == "ARRAY", F.concat(F.lit("["), body, F.lit("]"))).otherwise(leaf))
         below = whole.select("_k", "path", "up", "name", "pos", "json")
     return below.select(F.col("_k").alias(key), F.col("json").alias(payload)).unionByName(loose)
